@@ -18,61 +18,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, by_bytes, mapped, materialise, row_batches, text_batches
+from ledgerloom.llm.common import as_bytes, by_bytes, mapped, materialise, mix, powers, text_batches
 
-CAPACITY, END, WORDS, DEAL = 2048, 0, 250_000, 4096
-MARK = "\x01"  # joins words for one call of the tokenizer; a word that has it is encoded by itself
+CAPACITY, END, PARTS, DEAL, LONGEST, BASE = 2048, 0, 2_000_000, 4096, 64, 0x9E3779B97F4A7C15
 
 
 class Words:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, by a table of words already encoded.
+    """Token ids of texts, by a table of parts already encoded: of at most about `most` parts, that is about 40 MB a million.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its parts between ASCII white space.
+    The tokenizer drops white space and never joins across it, nor across a full stop or comma that ends a word after an ASCII
+    letter; and it lowers ASCII letters. So texts are cut there, all at once as arrays of bytes, and parts are looked up by a
+    64-bit hash. Equal hashes are taken as equal parts; parts of more than LONGEST bytes are not looked up.
     """
 
-    def __init__(self, vocabulary: str, most: int = WORDS):
+    def __init__(self, vocabulary: str, most: int = PARTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)  # tokens that end a run of letters or of signs
+        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.most = most
-        self.mark = self.encode([MARK])[0]
+        self.space = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+        self.letter = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)))
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.begin, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.tokens, self.used = np.empty(1 << 16, np.uint32), 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        if len(self.mark) != 1:
-            for w, ids in zip(words, self.encode([w.decode("utf-8", "replace") for w in words])):
-                self.known[w] = np.array(ids, "<u4").tobytes()
-            return
-        odd = [w for w in words if MARK.encode() in w]
-        for w, ids in zip(odd, self.encode([w.decode("utf-8", "replace") for w in odd])):
-            self.known[w] = np.array(ids, "<u4").tobytes()
-        plain = [w for w in words if MARK.encode() not in w] if odd else words
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.encode([f" {MARK} ".join(w.decode("utf-8", "replace") for w in some)])[0], "<u4")
-            parts = np.split(ids, np.flatnonzero(ids == self.mark[0]))
-            if len(parts) != len(some):
-                raise ValueError("the tokenizer gives the mark's id to other text")
-            for i, w in enumerate(some):
-                self.known[w] = parts[i][i > 0 :].tobytes()
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if new := set().union(*split).difference(self.known):
-            self.learn(list(new))
-            if any(w not in self.known for ws in split for w in ws):  # the table was cleared
-                return [self.ids([t])[0] for t in texts] if len(texts) > 1 else [self.alone(texts[0])]
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
-
-    def alone(self, text: bytes) -> bytes:
-        return np.array(self.encode([text.decode("utf-8", "replace")])[0], "<u4").tobytes()
+    def learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in self.tokens the ids of each part begin, and how many they are."""
+        begin, size = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        texts = [p.decode("utf-8", "replace") for p in parts]
+        runs = sorted((t, i) for i, t in enumerate(texts) if t.isalpha())
+        odd = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for at in range(0, len(runs), 200):  # runs of letters go to the tokenizer many at once: each ends with a last token
+            some = runs[at : at + 200]
+            ids = np.array(self.encode([" ".join([t for t, _ in some])])[0], np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):  # a letter whose lower case is no letter
+                odd += [i for _, i in some]
+                continue
+            place, starts = [i for _, i in some], np.concatenate([[0], ends[:-1]])
+            begin[place], size[place] = self.add(ids) + starts, ends - starts
+        for i, ids in zip(odd, self.encode([texts[i] for i in odd])):
+            begin[i], size[i] = self.add(np.array(ids, np.uint32)), len(ids)
+        return begin, size
+
+    def add(self, ids: np.ndarray) -> int:
+        at = self.used
+        self.used += len(ids)
+        if self.used > len(self.tokens):
+            self.tokens = np.resize(self.tokens, max(self.used, 2 * len(self.tokens)))
+        self.tokens[at : self.used] = ids
+        return at
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.hashes) > self.most:
+            self.clear()
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        raw = np.frombuffer(b" ".join([b"", *texts, b" "]), np.uint8)  # every text between spaces
+        follow = raw[1:]
+        capital = (raw[:-1] >= 65) & (raw[:-1] <= 90) & (follow < 128)  # before a mark of several bytes the case may matter
+        low = raw.copy()
+        low[:-1] += np.uint8(32) * capital
+        space = self.space[raw]
+        sign = np.zeros(len(raw), bool)
+        sign[1:-1] = ((raw[1:-1] == 46) | (raw[1:-1] == 44)) & space[2:] & self.letter[raw[:-2]]
+        inside = ~space
+        first = np.flatnonzero(inside[1:] & (space[:-1] | sign[1:])) + 1
+        stop = np.flatnonzero(inside[:-1] & (space[1:] | sign[1:])) + 1
+        if not len(first):
+            return [np.empty(0, np.uint32)] * len(texts)
+        if len(raw) > len(_powers[0]):
+            _powers[:] = [powers(BASE, 2 * len(raw)), powers(pow(BASE, -1, 1 << 64), 2 * len(raw))]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(low)], dtype=np.uint64)])
+        long = stop - first > LONGEST
+        name = mix((sums[stop] - sums[first]) * _powers[1][first] ^ (stop - first).astype(np.uint64) << np.uint64(56))
+        name, at, which = np.unique(name, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, name), max(0, len(self.hashes) - 1))
+        have = self.hashes[place] == name if len(self.hashes) else np.zeros(len(name), bool)
+        begin, size = np.empty(len(name), np.int64), np.empty(len(name), np.int64)
+        begin[have], size[have] = self.begin[place[have]], self.size[place[have]]
+        new = np.flatnonzero(~have)
+        data = low.tobytes()
+        begin[new], size[new] = self.learn([data[a:b] for a, b in zip(first[at[new]].tolist(), stop[at[new]].tolist())])
+        order = np.argsort(merged := np.concatenate([self.hashes, name[new]]), kind="stable")
+        self.hashes, self.begin, self.size = merged[order], np.concatenate([self.begin, begin[new]])[order], np.concatenate([self.size, size[new]])[order]
+        begin, size = begin[which], size[which]
+        if long.any():
+            begin[long], size[long] = self.learn([data[a:b] for a, b in zip(first[long].tolist(), stop[long].tolist())])
+        before = np.concatenate([[0], np.cumsum(size)])
+        tokens = self.tokens[np.repeat(begin - before[:-1], size) + np.arange(before[-1])]
+        return np.split(tokens, before[np.searchsorted(first, ends[:-1] + 1)])
+
+
+_powers = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+
+def words_of_worker(vocabulary: str) -> Words:
+    """The table that this Python worker keeps from task to task."""
+    import sys
+    import types
+    import zlib
+
+    kept = sys.modules.setdefault("_ledgerloom_words", types.ModuleType("_ledgerloom_words")).__dict__
+    key = zlib.crc32(vocabulary.encode())
+    if kept.get("key") != key:
+        kept["key"], kept["words"] = key, Words(vocabulary)
+    return kept["words"]
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -87,12 +146,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = None
-        for b in (s for b in batches if b.num_rows for s in by_bytes(b, "text", 1 << 20)):
-            words = words or Words(sent.value)
+        for b in (s for b in batches if b.num_rows for s in by_bytes(b, "text", 2 << 20)):
+            words = words or words_of_worker(sent.value)
             rows: list[tuple[int, int, int, int]] = []
             who = []
             for i, ids in enumerate(words.ids(as_bytes(b.column("text")))):
-                ids += tail
+                ids = ids.astype("<u4").tobytes() + tail
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((k, at // 4, len(part) // 4, zlib.crc32(part)))

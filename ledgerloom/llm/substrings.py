@@ -25,24 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, by_bytes, mapped, materialise, row_batches, text_batches
+from ledgerloom.llm.common import as_bytes, by_bytes, mapped, materialise, mix, powers, row_batches, text_batches
 
 WINDOW, ROWS, CELLS, BLOCK_CELLS, FLUSH = 35, 2, 27, 20, 1 << 21
 GRAM_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd: they have inverses modulo 2**64
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
-    return x ^ (x >> np.uint64(32))
-
-
 def rolling(words: np.ndarray, width: int, base: int) -> np.ndarray:
     """Hash of each run of `width` word hashes."""
     n = len(words) - width + 1
