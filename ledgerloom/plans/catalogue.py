@@ -1,4 +1,546 @@
-"""The queries of the library by name, and their SQL."""
+"""The queries of the library over the driver's tables, and the SQL that says what each returns.
+
+The tables stand in for case documents: conversations are documents of pages, documents are page texts, benchmark the phrases and
+quotes, labels the reviews, events the run log, orders and lineitem reasons and their evidence, customer the roster.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import text as tx
+from ledgerloom.functions.codes import FREQUENCY, PLACEHOLDERS, SCHEMAS
+from ledgerloom.operators import cases, pages, pii, reports, rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+RUN_KINDS = ["long_digit_run"]
+STATUS = {"view": "in_progress", "click": "in_progress", "purchase": "passed", "error": "failed"}
+# The scenario for dual readings: a variant of each text that differs for every seventh document, and a verdict for every third.
+EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def turns(spark, sf) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), "text")
+
+
+@query("SELECT conv_id, turn + 1 AS page, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR) AS n FROM conversations")
+def chunk_roundtrip(spark, sf):
+    """Marks each conversation as one text, splits it again and numbers the chunks."""
+    split = pages.split_documents(pages.mark_documents(turns(spark, sf), "conv_id", "page", "text"), "conv_id", "marked_text")
+    got = pages.number_chunks(split.withColumn("case", F.col("conv_id")), "case", "pos", "conv_id", "page", "text")
+    return got.select(F.col("document_id").alias("conv_id"), F.col("page_start").alias("page"), "text", F.regexp_extract("chunk_id", r"\d+", 0).alias("n"))
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn AS pos, CASE WHEN conv_id % 5 = 0 AND turn = 2 THEN 1 ELSE turn + 1 END AS page FROM conversations),
+u AS (SELECT conv_id, page > lag(page, 1, 0) OVER (PARTITION BY conv_id ORDER BY pos) AS up FROM p)
+SELECT conv_id, count(*) AS n_pages, bool_and(up) AS valid FROM u GROUP BY conv_id
+""")
+def page_order_gate(spark, sf):
+    """Conversations, some with a page that falls back, by whether their pages strictly rise."""
+    page = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 2), 1).otherwise(F.col("turn") + 1)
+    rows = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("pos"), page.alias("page"))
+    return pages.pages_in_order(rows, "conv_id", "pos", "page")
+
+
+@query("SELECT CASE WHEN conv_id % 7 = 0 THEN 'excluded' ELSE 'chunks' END AS part, count(DISTINCT conv_id) AS n_documents, count(*) AS n_pages FROM conversations GROUP BY 1")
+def chunk_coverage(spark, sf):
+    """Chunked and excluded documents cover the case, and no document is both."""
+    rows = turns(spark, sf)
+    out = rows.filter(F.col("conv_id") % 7 == 0).select("conv_id").distinct()
+    chunks = rows.join(out, "conv_id", "left_anti").withColumn("part", F.lit("chunks"))
+    excluded = rows.join(out, "conv_id", "left_semi").withColumn("part", F.lit("excluded"))
+    return chunks.union(excluded).groupBy("part").agg(F.count_distinct("conv_id").alias("n_documents"), F.count("*").alias("n_pages"))
+
+
+@query("SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[0-9]+'), lambda d: length(d) >= 11)) AS sample FROM documents")
+def pii_digit_runs(spark, sf):
+    return pii.scan(table(spark, sf, "documents"), "doc_id", "text", RUN_KINDS).select("doc_id", "sample")
+
+
+@query(rf"SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS email FROM documents")
+def pii_email(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("email"))
+
+
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9])\(?[0-9]{2,3}\)?[-.\s]+[0-9]{3,4}[-.\s]+[0-9]{4}([^0-9]|$)')")
+def pii_phone_presence(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.filter(pii.leaks(F.col("text"), ["phone_number_separated"])).select("doc_id")
+
+
+@query()
+def pii_scan_all_kinds(spark, sf):
+    """Every match of every kind, with a planted value of each kind in every fiftieth document."""
+    plant = " 900101-1234567 / 02-123-4567 / 01012345678 / 123-45-67890 / a@b.co / 12가 3456 / 123456789012345"
+    docs = table(spark, sf, "documents").withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit(plant))).otherwise(F.col("text")))
+    return pii.scan(docs, "doc_id", "text")
+
+
+@query(rf"SELECT doc_id, sha256(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g')) AS digest FROM documents")
+def redact_emails(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(F.regexp_replace("text", EMAIL, "[EMAIL]"), 256).alias("digest"))
+
+
+def redacted(spark, sf) -> DataFrame:
+    """Documents with the spans that a pattern scan lists, redacted by the span fold."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    kinds = {"email": "email", "phone_number_separated": "phone_number", "phone_number_contiguous": "phone_number", "long_digit_run": "account_number"}
+    each = [pii.named_spans(F.col("text"), k, "category", c, "text") for k, c in kinds.items()]
+    return pii.redact_spans(docs.withColumn("items", F.concat(*each)), "text", "items")
+
+
+@query()
+def redact_spans_full(spark, sf):
+    r = F.col("redaction")
+    total = F.aggregate(r["applied"], F.lit(0), lambda n, a: n + a["count"])
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(r["applied"], lambda a: a["category"]))), ",")
+    return redacted(spark, sf).select("doc_id", total.alias("items_redacted"), kinds.alias("categories"), F.size(r["unmatched"]).alias("n_unmatched"), F.size(r["ambiguous"]).alias("n_ambiguous"), F.sha2(r["text"], 256).alias("digest"))
+
+
+@query("SELECT doc_id, true AS from_source FROM documents")
+def built_from_source(spark, sf):
+    return redacted(spark, sf).select("doc_id", pii.built_from_source(F.col("text"), F.col("redaction.text")).alias("from_source"))
+
+
+@query(rf"""
+WITH r AS (SELECT lang, regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g') AS t FROM documents)
+SELECT lang, count(*) AS n, count(*) FILTER (WHERE regexp_matches(t, '[0-9]{{11,}}')) AS n_leaking FROM r GROUP BY lang
+""")
+def residual_leak_gate(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", EMAIL, "[EMAIL]"))
+    clean, leaking = pii.gate(docs, "text", [*RUN_KINDS, "email"])
+    both = clean.select("lang", F.lit(0).alias("leak")).union(leaking.select("lang", F.lit(1)))
+    return both.groupBy("lang").agg(F.count("*").alias("n"), F.sum("leak").alias("n_leaking"))
+
+
+@query()
+def flagship_redact_gate_chunk(spark, sf):
+    """Redact, drop documents that still leak, number the rest as chunks of their language, and count them."""
+    docs = redacted(spark, sf).select("doc_id", "lang", F.col("redaction.text").alias("text"))
+    clean, _ = pii.gate(docs, "text")
+    chunks = pages.number_chunks(clean.withColumns({"pos": F.col("doc_id"), "page": F.lit(1)}), "lang", "pos", "doc_id", "page", "text")
+    return chunks.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' "' || name || '" ' WHEN 1 THEN '“' || name || '”' WHEN 2 THEN name || chr(10) || '  ' || name ELSE '０１２３４５６７８９－．' || name END AS v
+  FROM (SELECT doc_id, source || ' ' || lang AS name FROM documents))
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN trim(v, ' "') WHEN 1 THEN trim(v, '“”') WHEN 2 THEN regexp_replace(v, '\s+', ' ', 'g') ELSE translate(v, '０１２３４５６７８９－．', '0123456789-.') END AS normal FROM s
+""")
+def width_fold_normalize(spark, sf):
+    name = F.concat_ws(" ", "source", "lang")
+    kind = F.col("doc_id") % 4
+    v = F.when(kind == 0, F.concat(F.lit(' "'), name, F.lit('" '))).when(kind == 1, F.concat(F.lit("“"), name, F.lit("”"))).when(kind == 2, F.concat(name, F.lit("\n  "), name)).otherwise(F.concat(F.lit("０１２３４５６７８９－．"), name))
+    return table(spark, sf, "documents").select("doc_id", tx.normal_phrase(tx.fold_widths(v)).alias("normal"))
+
+
+def readings(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    b = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" x"))).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("  "), F.col("text"))).otherwise(F.col("text"))
+    verdict = F.when(F.col("doc_id") % 3 == 0, "AGREE").when(F.col("doc_id") % 3 == 1, "I DISAGREE, not AGREE").otherwise("unsure")
+    got = docs.select((F.floor(F.col("doc_id") / 5)).cast("long").alias("document_id"), (F.col("doc_id") % 5 + 1).alias("page"), "doc_id", F.col("text").alias("reading_a"), b.alias("reading_b"), verdict.alias("verdict"))
+    return got.withColumn("agreement", pages.compare_readings(F.col("reading_a"), F.col("reading_b"), F.col("verdict")))
+
+
+DUAL = """
+WITH r AS (SELECT doc_id // 5 AS document_id, doc_id % 5 + 1 AS page, doc_id, CASE WHEN doc_id % 7 = 0 AND doc_id % 3 <> 0 THEN 'disagreed' ELSE 'agreed' END AS agreement, text FROM documents)
+"""
+
+
+@query(DUAL + """
+SELECT document_id, count(*) AS pages, count(*) FILTER (WHERE agreement = 'disagreed') AS n_disagreed,
+  coalesce(string_agg(CASE WHEN agreement = 'disagreed' THEN page END::VARCHAR, ',' ORDER BY page), '') AS disagreed_pages,
+  CASE WHEN bool_or(agreement = 'disagreed') THEN 'failed' ELSE 'completed' END AS ocr_status FROM r GROUP BY document_id
+""")
+def dual_read_agreement(spark, sf):
+    got = pages.ocr_rollup(readings(spark, sf), "document_id", "page", "agreement")
+    return got.select("document_id", "pages", "n_disagreed", F.array_join("disagreed_pages", ",").alias("disagreed_pages"), "ocr_status")
+
+
+VERDICTS = ["AGREE", "agree.", "DISAGREE", "They DISAGREE; not AGREE", "unclear", "", "AGREEMENT", "MISAGREE"]
+
+
+@query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'agreed' WHEN 1 THEN 'agreed' WHEN 6 THEN 'agreed' ELSE 'disagreed' END AS verdict, CASE WHEN doc_id % 3 = 1 THEN 'clear' ELSE 'flagged' END AS scan FROM documents")
+def verdict_parse(spark, sf):
+    said = F.element_at(F.array(*map(F.lit, VERDICTS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    scan = F.element_at(F.array(*map(F.lit, ["CLEAR but FLAGGED", "clear", "???"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", pages.parse_verdict(said).alias("verdict"), pages.parse_content_scan(scan).alias("scan"))
+
+
+@query(DUAL + """
+SELECT document_id, count(*) FILTER (WHERE agreement = 'disagreed' AND page = 5) AS n_open,
+  CAST(sum(length(CASE WHEN agreement = 'agreed' OR page IN (1, 2) THEN text WHEN page IN (3, 4) THEN text || ' x' END)) AS BIGINT) AS n_chars FROM r GROUP BY document_id
+""")
+def resolve_disagreement(spark, sf):
+    """Pages 1 and 2 are decided for the first reading, 3 and 4 for the second, page 5 stays open."""
+    rows = readings(spark, sf)
+    decided = rows.filter((F.col("agreement") == "disagreed") & (F.col("page") < 5)).select("document_id", "page", F.when(F.col("page") < 3, "reading_a").otherwise("reading_b").alias("chosen_reading"))
+    got = pages.resolve(rows, decided, ["document_id", "page"])
+    return got.groupBy("document_id").agg(F.count_if("unresolved").alias("n_open"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(r"""
+WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), p AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM benchmark)
+SELECT doc_id, item_id FROM n JOIN p ON contains(t, s)
+""")
+def forbidden_phrase_hits(spark, sf):
+    return reports.phrase_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
+
+
+@query("""
+WITH c AS (SELECT conv_id, list(DISTINCT turn + 1) AS ts FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, list(DISTINCT turn + 2) AS ss FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id)
+SELECT c.conv_id, CAST(len(list_filter(ts, lambda x: NOT list_contains(coalesce(ss, []), x))) AS INTEGER) AS n_orphaned, CAST(len(list_filter(coalesce(ss, []), lambda x: NOT list_contains(ts, x))) AS INTEGER) AS n_unused
+FROM c LEFT JOIN s USING (conv_id)
+""")
+def evidence_tags(spark, sf):
+    """Reports whose tags are one off their sidecars; every third has none."""
+    rows = table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("n"))
+    text = rows.groupBy("conv_id").agg(F.concat_ws(" ", F.collect_list(F.concat(F.lit("see [E"), F.col("n").cast("string"), F.lit("]")))).alias("text"))
+    side = rows.filter(F.col("conv_id") % 3 != 0).groupBy("conv_id").agg(F.collect_set(F.col("n") + 1).alias("cited"))
+    got = text.join(side, "conv_id", "left").withColumn("check", reports.tag_check(F.col("text"), F.col("cited")))
+    return got.select("conv_id", F.size("check.orphaned").alias("n_orphaned"), F.size("check.unused").alias("n_unused"))
+
+
+@query("""
+SELECT conv_id, string_agg('## ' || role || chr(10) || 'first [E' || (2 * turn + 1) || '], then [E' || (2 * turn + 2) || '].', chr(10) ORDER BY turn) AS report FROM conversations GROUP BY conv_id
+""")
+def render_citations(spark, sf):
+    """Each turn is a section with two citations; numbers run on over the sections."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), F.col("role"), F.lit("\nfirst {{E}}, then {{E}}.")).alias("content"))
+    need = reports.placeholders(F.col("content"))
+    upto = F.sum(need).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    filled = rows.withColumn("first", upto - need + 1).withColumn("content", reports.fill_citations(F.col("content"), F.col("first")))
+    parts = F.array_sort(F.collect_list(F.struct("turn", "content")))
+    return filled.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("report"))
+
+
+@query("SELECT conv_id, count(*) = 3 AND conv_id % 4 <> 0 AS exact, count(*) >= 3 AND conv_id % 4 <> 0 AS subsequence FROM conversations GROUP BY conv_id")
+def template_conformance(spark, sf):
+    """Headings 1., 2., 3. ... of each conversation against a template of three; every fourth starts wrongly."""
+    head = F.concat(F.when((F.col("conv_id") % 4 == 0) & (F.col("turn") == 0), "x").otherwise((F.col("turn") + 1).cast("string")), F.lit(". part"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", head.alias("head"))
+    got = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "head"))), lambda x: x["head"]).alias("heads"))
+    want = [r"^1\.", r"^2\.", r"^3\."]
+    return got.select("conv_id", reports.conforms(F.col("heads"), want).alias("exact"), reports.conforms(F.col("heads"), want, extra=True).alias("subsequence"))
+
+
+@query("SELECT conv_id, turn + 1 AS section, role AS heading, CAST(2 AS BIGINT) AS n_lines FROM conversations")
+def markdown_sections(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), F.col("role"), F.lit("\nline one\n\nline two")).alias("t"))
+    text = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "\n").alias("text"))
+    return reports.sections(text.withColumn("text", F.concat(F.lit("preface\n"), F.col("text"))), "conv_id", "text").select("conv_id", "section", "heading", "n_lines")
+
+
+@query("""
+WITH f AS (SELECT page_id, regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) AS name, url FROM pages)
+SELECT page_id, CASE WHEN url LIKE '%casino%' OR name LIKE '%7' THEN 'ground_truth' ELSE 'raw' END AS classification,
+  CASE lower(regexp_extract(name, '\\.([^./]+)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'text' WHEN 'md' THEN 'text' ELSE 'other' END AS file_format FROM f
+""".replace("\\\\", "\\"))
+def classify_files(spark, sf):
+    name = F.regexp_extract("url", r"([^/?#]*)([?#].*)?$", 1)
+    files = table(spark, sf, "pages").select("page_id", F.concat(F.when(F.contains("url", F.lit("casino")), "casino ").otherwise(""), name).alias("name"))
+    return cases.classify_files(files, "name", ["*casino*", "*7"]).select("page_id", "classification", "file_format")
+
+
+@query("""
+SELECT url, CASE WHEN page_id % 5 = 0 THEN 'GT_' ELSE 'DOC_' END || lpad(CAST(row_number() OVER (PARTITION BY page_id % 10, page_id % 5 = 0 ORDER BY url, page_id) AS VARCHAR), 3, '0') AS document_id FROM pages
+""")
+def doc_id_assignment(spark, sf):
+    """Ten cases of pages; ids follow the file names."""
+    files = table(spark, sf, "pages").select("url", (F.col("page_id") % 10).alias("case_id"), F.when(F.col("page_id") % 5 == 0, "ground_truth").otherwise("raw").alias("classification"), F.struct("url", "page_id").alias("name"))
+    return cases.assign_ids(files, "case_id", "name").select("url", "document_id")
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn + 1 AS page FROM conversations)
+SELECT CASE WHEN page BETWEEN 1 AND 2 THEN 'raw' WHEN page BETWEEN 4 AND 5 THEN 'ground_truth' ELSE 'uncovered' END AS tier, count(*) AS n FROM p GROUP BY 1
+""")
+def split_ranges(spark, sf):
+    specs = spark.createDataFrame([("a.pdf:1-2=raw",), ("a.pdf:4-5=ground_truth",), ("a.pdf:9-8=raw",), ("a.pdf",)], "spec string")
+    ranges = specs.select(cases.parse_split(F.col("spec")).alias("s")).select("s.*").filter("error IS NULL").select("start", "end", "tier")
+    inside, outside = cases.split_pages(turns(spark, sf), ranges, "page")
+    return inside.select("tier").union(outside.select(F.lit("uncovered"))).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+REVIEW = "CASE WHEN l.quality IS NULL THEN 'pending' WHEN l.quality = 1 THEN 'approved' ELSE 'rejected' END"
+
+
+def ledger(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    status = F.when(F.col("quality").isNull(), F.lit(None)).when(F.col("quality") == 1, "approved").otherwise("rejected")
+    return docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("status", status)
+
+
+@query(f"""
+SELECT source, count(*) AS n, count(*) FILTER (WHERE {REVIEW} = 'pending') AS n_pending, count(*) FILTER (WHERE {REVIEW} = 'rejected') AS n_rejected, bool_and({REVIEW} = 'approved') AS clear
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source
+""")
+def ledger_clear(spark, sf):
+    rows = ledger(spark, sf)
+    got = cases.ledger_gate(rows, rows.select("source"), "source", "doc_id", "status", "approved", absent_clear=False)
+    return got.select("source", "n", F.size("pending").cast("long").alias("n_pending"), F.size("rejected").cast("long").alias("n_rejected"), "clear")
+
+
+@query("""
+SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'class differs' END AS problem FROM documents d LEFT JOIN labels l USING (doc_id)
+WHERE l.doc_id IS NULL OR (l.quality = 1) <> (d.doc_id % 2 = 0)
+""")
+def ledger_drift(spark, sf):
+    plan = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "raw").otherwise("ground_truth").alias("classification"))
+    known = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "raw").otherwise("ground_truth").alias("classification"))
+    return cases.ledger_drift(plan, known, "doc_id")
+
+
+@query("SELECT l_orderkey AS topic, count(DISTINCT l_returnflag) AS n_values, count(DISTINCT l_suppkey) AS n_sources FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
+def conflicts_by_topic(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("topic"), "l_suppkey", "l_returnflag")
+    return reports.conflicts(rows, ["topic"], "l_suppkey", "l_returnflag")
+
+
+def codes(spark) -> DataFrame:
+    return spark.createDataFrame(sorted(FREQUENCY.items()), "code string, frequency string")
+
+
+@query("WITH f(code, frequency) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in sorted(FREQUENCY.items())) + """)
+SELECT frequency, count(*) AS n, CAST(round(sum(value), 2) AS DOUBLE) AS total FROM events JOIN f ON code = 'R' || lpad(CAST(CASE WHEN user_id % 23 = 22 THEN 99 ELSE user_id % 23 END AS VARCHAR), 2, '0') GROUP BY frequency
+""")
+def taxonomy_rollup(spark, sf):
+    n = F.when(F.col("user_id") % 23 == 22, 99).otherwise(F.col("user_id") % 23)
+    rows = table(spark, sf, "events").select(F.concat(F.lit("R"), F.lpad(n.cast("string"), 2, "0")).alias("code"), "value")
+    return rows.join(codes(spark), "code").groupBy("frequency").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+def log(spark, sf) -> DataFrame:
+    status = F.element_at(F.create_map(*(F.lit(x) for kv in STATUS.items() for x in kv)), F.col("event_type"))
+    return table(spark, sf, "events").select("user_id", (F.col("event_id") % 3).alias("stage"), status.alias("status"), "event_id", "event_type").filter("status IS NOT NULL OR event_type = 'signup'")
+
+
+LOG = "WITH e AS (SELECT user_id, event_id % 3 AS stage, event_id, event_type, CASE event_type WHEN 'view' THEN 'in_progress' WHEN 'click' THEN 'in_progress' WHEN 'purchase' THEN 'passed' WHEN 'error' THEN 'failed' END AS status FROM events)\n"
+FOLD = """SELECT user_id, stage, arg_max(status, event_id) AS status, count(*) FILTER (WHERE status = 'in_progress') AS attempt_count,
+  min(CASE WHEN status = 'in_progress' THEN event_id END) AS started_at, max(CASE WHEN status IN ('passed', 'failed') THEN event_id END) AS completed_at
+FROM e WHERE status IS NOT NULL GROUP BY user_id, stage"""
+
+
+@query(LOG + FOLD)
+def run_state_fold(spark, sf):
+    return cases.fold_run_state(log(spark, sf).filter("status IS NOT NULL"), ["user_id", "stage"], "status", "event_id")
+
+
+@query(LOG + "SELECT user_id, arg_max(stage, event_id) AS last_passed, max(event_id) AS at FROM e WHERE status = 'passed' GROUP BY user_id")
+def last_passed_stage(spark, sf):
+    return cases.last_passed(log(spark, sf), "user_id", "stage", "status", "event_id")
+
+
+@query(LOG + """, w AS (SELECT user_id, event_id, event_type, lag(event_type) OVER p AS before, lag(event_id) OVER p AS waited_at FROM e WHERE event_type IN ('signup', 'purchase') WINDOW p AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, waited_at FROM w WHERE event_type = 'purchase' AND before = 'signup'""")
+def human_wait_pairing(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    return cases.pair_waits(rows, ["user_id"], "event_type", "event_id", "signup", "purchase").select("user_id", "event_id", "waited_at")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def lock_first_writer(spark, sf):
+    return cases.first_writer(table(spark, sf, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+@query(LOG + ", f AS (" + FOLD + f"""), g AS (SELECT CAST(substr(source, 4) AS BIGINT) AS s, count(*) FILTER (WHERE {REVIEW} = 'rejected') AS rejected, count(*) FILTER (WHERE {REVIEW} = 'pending') AS pending
+  FROM documents d LEFT JOIN labels l USING (doc_id) WHERE doc_id % 40 = 0 GROUP BY 1)
+SELECT user_id, stage, CASE WHEN rejected > 0 OR pending > 0 THEN 'paused' WHEN f.status = 'failed' AND attempt_count >= 3 THEN 'halted' ELSE f.status END AS status,
+  CASE WHEN rejected > 0 OR pending > 0 THEN 'D2' WHEN f.status = 'failed' AND attempt_count >= 3 THEN 'P9' END AS rule
+FROM f LEFT JOIN g ON s = user_id % 20
+""")
+def stage_status_ladder(spark, sf):
+    """Stages of users, held up by the open reviews of the source that they read."""
+    state = cases.fold_run_state(log(spark, sf).filter("status IS NOT NULL"), ["user_id", "stage"], "status", "event_id")
+    rows = ledger(spark, sf).filter(F.col("doc_id") % 40 == 0)
+    gate = rows.groupBy(F.substring("source", 4, 9).cast("long").alias("s")).agg(F.count_if(F.col("status") == "rejected").alias("rejected"), F.count_if(F.col("status").isNull()).alias("pending"))
+    got = state.join(gate, F.col("user_id") % 20 == F.col("s"), "left").withColumns({"blocked": F.lit(0), "conflicts": F.lit(0), "waits": F.lit(0)})
+    return got.select("user_id", "stage", cases.stage_status("status", "attempt_count", "rejected", "pending", "blocked", "conflicts", "waits").alias("x")).select("user_id", "stage", "x.status", "x.rule")
+
+
+@query("SELECT lang, count(*) AS compared, CAST(sum(CASE WHEN (n_chars > 800) = (quality = 1) THEN 1 ELSE 0 END) AS BIGINT) AS matched, round(avg(CASE WHEN (n_chars > 800) = (quality = 1) THEN 1 ELSE 0 END), 2) AS score FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def field_accuracy(spark, sf):
+    docs = table(spark, sf, "documents")
+    predicted = docs.select("doc_id", (F.col("n_chars") > 800).cast("int").alias("predicted"))
+    actual = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("actual")).join(docs.select("doc_id", "lang"), "doc_id")
+    return reports.field_accuracy(predicted, actual, ["doc_id"], ["lang"])
+
+
+@query("SELECT source, round(avg(quality), 6) AS mean, count(quality) AS n, count(*) - count(quality) AS na_count FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def rate_stats(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id", "left")
+    return rows.groupBy("source").agg(*reports.rate_stat(F.col("quality")))
+
+
+@query("SELECT lang, count(*) FILTER (WHERE r = 0) AS poor, count(*) FILTER (WHERE r = 1) AS fair, count(*) FILTER (WHERE r = 2) AS good, count(*) FILTER (WHERE r = 3) AS excellent FROM (SELECT lang, 2 * quality + 1 - toxic AS r FROM documents JOIN labels USING (doc_id)) GROUP BY lang")
+def rating_distribution(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id")
+    rating = F.element_at(F.array(*map(F.lit, ("poor", "fair", "good", "excellent"))), F.col("quality") * 2 + 2 - F.col("toxic"))
+    return rows.groupBy("lang").agg(*reports.rating_counts(rating))
+
+
+@query("""
+WITH c AS (SELECT user_id, event_type AS code, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, code) AS k FROM c)
+SELECT user_id, coalesce(max(CASE WHEN code = 'purchase' AND k <= 3 THEN k END), 0) AS matched_rank FROM r GROUP BY user_id
+""")
+def top3_inclusion(spark, sf):
+    rows = table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("code")).agg(F.count("*").alias("n"))
+    top = reports.top_candidates(rows, ["user_id"], "code", "n")
+    return top.groupBy("user_id").agg(F.coalesce(F.max(F.when(F.col("code") == "purchase", F.col("rank").cast("long"))), F.lit(0).cast("long")).alias("matched_rank"))
+
+
+@query("""
+SELECT o_orderpriority, count(*) AS n_refs, count(l_orderkey) AS n_matched, CAST(round(sum(l_quantity), 2) AS DOUBLE) AS quantity
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = o_custkey % 7 + 1 WHERE o_orderstatus IN ('F', 'P') GROUP BY 1
+""")
+def policy_clause_left_join(spark, sf):
+    """Reasons with a reference to a clause by document and number; a reference may find nothing."""
+    refs = table(spark, sf, "orders").filter(F.col("o_orderstatus").isin("F", "P")).select("o_orderkey", (F.col("o_custkey") % 7 + 1).alias("clause"), "o_orderpriority")
+    clauses = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    got = refs.join(clauses, (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("clause") == F.col("l_linenumber")), "left")
+    return got.groupBy("o_orderpriority").agg(F.count("*").alias("n_refs"), F.count("l_orderkey").alias("n_matched"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("""
+WITH q AS (SELECT item_id, text AS quote FROM benchmark), h AS (SELECT doc_id, item_id, instr(text, quote) - 1 AS a, length(quote) AS n FROM documents JOIN q ON contains(text, quote))
+SELECT doc_id, item_id, CAST(a AS BIGINT) AS start, CAST(a + n AS BIGINT) AS stop, a < 200 AND 100 < a + n AS review FROM h
+""")
+def quote_in_page(spark, sf):
+    """Quotes by their place in a page, and whether they touch its uncertain region of characters 100 to 200."""
+    quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    got = table(spark, sf, "documents").select("doc_id", "text").join(quotes, F.contains("text", "quote"))
+    a = F.call_function("instr", F.col("text"), F.col("quote")).cast("long") - 1
+    got = got.select("doc_id", "item_id", a.alias("start"), (a + F.length("quote")).alias("stop"))
+    return got.withColumn("review", (F.col("start") < 200) & (F.col("stop") > 100))
+
+
+SCHEMA = {
+    "type": "object", "required": ["k", "kind", "items"],
+    "properties": {
+        "k": {"type": "integer", "minimum": 10, "maximum": 89}, "kind": {"enum": ["view", "click", "purchase", "signup"]},
+        "items": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["id"], "properties": {"id": {"type": "string", "pattern": "^E[0-9]+$"}}}},
+    },
+    "if": {"properties": {"kind": {"const": "signup"}}}, "then": {"required": ["note"]},
+}
+
+
+def contracts(spark, sf) -> DataFrame:
+    e = F.col("event_id")
+    items = F.when(e % 11 == 0, "[]").when(e % 7 == 0, F.concat(F.lit('[{"id":"E'), e.cast("string"), F.lit('"},{"id":"x"}]'))).otherwise(F.concat(F.lit('[{"id":"E'), e.cast("string"), F.lit('"}]')))
+    note = F.when(e % 2 == 0, ',"note":null').otherwise("")
+    body = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(',"kind":"'), F.col("event_type"), F.lit('","items":'), items, note, F.lit("}"))
+    return table(spark, sf, "events").select("event_id", F.when(e % 101 == 0, F.lit("{broken")).otherwise(body).alias("json"))
+
+
+CHECKED = """
+WITH b AS (SELECT event_id, event_id % 101 = 0 AS broken, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type FROM events), c AS (
+SELECT event_id, CASE WHEN broken THEN ['$: json'] ELSE list_sort(list_filter([
+  CASE WHEN event_id % 11 = 0 THEN '$.items: minItems' END, CASE WHEN event_id % 11 <> 0 AND event_id % 7 = 0 THEN '$.items[1].id: pattern' END,
+  CASE WHEN k > 89 THEN '$.k: maximum' END, CASE WHEN k < 10 THEN '$.k: minimum' END, CASE WHEN event_type = 'error' THEN '$.kind: enum' END,
+  CASE WHEN event_type = 'signup' AND event_id % 2 <> 0 THEN '$: required note' END], lambda x: x IS NOT NULL)) END AS errors FROM b)
+"""
+
+
+@query(CHECKED + "SELECT event_id, array_to_string(errors, '; ') AS errors FROM c WHERE len(errors) > 0")
+def schema_errors(spark, sf):
+    got = contracts(spark, sf).select("event_id", rules.errors(F.try_parse_json("json"), SCHEMA).alias("errors"))
+    return got.filter(F.size("errors") > 0).select("event_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query(CHECKED + "SELECT CASE WHEN event_id % 13 = 0 THEN 'SKIP' WHEN len(errors) > 0 THEN 'FAIL' ELSE 'PASS' END AS result, count(*) AS n FROM c GROUP BY 1")
+def schema_result_counts(spark, sf):
+    """Every thirteenth contract has a name without a schema."""
+    found = rules.errors(F.try_parse_json("json"), SCHEMA)
+    result = F.when(F.col("event_id") % 13 == 0, "SKIP").when(F.size(found) > 0, "FAIL").otherwise("PASS")
+    return contracts(spark, sf).groupBy(result.alias("result")).agg(F.count("*").alias("n"))
+
+
+FILES = [("critic_result_v2.json", "critic_result"), ("draft_report_v1.evidence.json", "evidence_sidecar"), ("normalized_policy_clause_DOC_004.json", "normalized_policy_clause"), ("_run_state.json", "run_state"), ("evaluation_result_CASE_021_v1.json", "evaluation_result"), ("unknown.json", None)]
+
+
+@query("SELECT event_id, CASE event_id % 6 " + " ".join(f"WHEN {i} THEN '{s}.schema.json'" for i, (_, s) in enumerate(FILES) if s) + " END AS schema_name FROM events")
+def schema_name_for(spark, sf):
+    name = F.element_at(F.array(*(F.lit(f) for f, _ in FILES)), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", tx.schema_name(name, SCHEMAS).alias("schema_name"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 3 THEN 'agreed' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 10 = 3 THEN NULL ELSE c_acctbal END AS c_acctbal, c_name FROM customer")
+def manifest_patch(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_name")
+    patches = rows.filter(F.col("c_custkey") % 10 == 3).select("c_custkey", F.lit("agreed").alias("c_mktsegment"), F.lit(None).cast("double").alias("c_acctbal"))
+    return cases.patch(rows, patches, ["c_custkey"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'deferred_poc' ELSE c_mktsegment END AS mode FROM customer")
+def backfill_default(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("mode"))
+    return cases.backfill(rows, {"mode": "deferred_poc"})
+
+
+@query("SELECT 'CASE_' || lpad(CAST(max(c_custkey) + 1 AS VARCHAR), CAST(greatest(3, length(CAST(max(c_custkey) + 1 AS VARCHAR))) AS INTEGER), '0') AS case_id FROM customer")
+def next_case_id(spark, sf):
+    ids = table(spark, sf, "customer").select(F.concat(F.lit("CASE_"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("id"))
+    return cases.next_case(ids.union(spark.createDataFrame([("CASE_x",)], "id string")), "id")
+
+
+@query("SELECT o_orderkey, 'CASE_9' AS case_id FROM orders WHERE o_custkey = 7")
+def fork_case(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("CASE_"), F.col("o_custkey").cast("string")).alias("case_id"))
+    return cases.fork(rows, "CASE_7", "CASE_9")
+
+
+@query(DUAL + """
+SELECT s AS scenario, count(*) AS n_pages, count(*) FILTER (WHERE s = 'unresolved') AS n_open, CAST(coalesce(sum(CASE s WHEN 'reading_a' THEN length(text) WHEN 'reading_b' THEN length(text) + 2 END), 0) AS BIGINT) AS n_chars
+FROM r, (VALUES ('reading_a'), ('reading_b'), ('unresolved')) v(s) WHERE agreement = 'disagreed' GROUP BY s
+""")
+def scenario_matrix(spark, sf):
+    blocked = cases.scenarios(readings(spark, sf).filter("agreement = 'disagreed'"))
+    text = F.when(F.col("scenario") == "reading_a", F.col("reading_a")).when(F.col("scenario") == "reading_b", F.col("reading_b"))
+    return blocked.groupBy("scenario").agg(F.count("*").alias("n_pages"), F.count_if(text.isNull()).alias("n_open"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n_chars"))
+
+
+@query(f"""
+WITH g AS (SELECT source, bool_and({REVIEW} <> 'rejected') AS clear FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source)
+SELECT d.lang, count(*) AS n_documents, count(DISTINCT d.source) AS n_sources, CAST(sum(d.n_chars) AS BIGINT) AS n_chars, count(l.doc_id) AS n_reviewed, CAST(coalesce(sum(l.toxic), 0) AS BIGINT) AS n_toxic, count(*) FILTER (WHERE g.clear) AS n_clear
+FROM documents d LEFT JOIN labels l USING (doc_id) JOIN g ON g.source = d.source GROUP BY d.lang
+""")
+def screening_report(spark, sf):
+    """A summary of each language over documents, reviews and the gate of their source."""
+    docs, labels = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars"), table(spark, sf, "labels")
+    rows = docs.join(labels.withColumn("reviewed", F.lit(1)), "doc_id", "left")
+    gate = rows.groupBy("source").agg(F.every(F.coalesce(F.col("quality") == 1, F.lit(True))).alias("clear"))
+    return rows.join(gate, "source").groupBy("lang").agg(
+        F.count("*").alias("n_documents"), F.count_distinct("source").alias("n_sources"), F.sum("n_chars").alias("n_chars"), F.count("reviewed").alias("n_reviewed"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n_toxic"), F.count_if("clear").alias("n_clear")
+    )
+
+
+@query("SELECT run, count(*) AS n FROM (SELECT CASE WHEN event_id % 6 = 0 THEN 'not_started' WHEN event_id % 6 = 1 THEN 'finished' WHEN event_id % 6 = 2 THEN 'crashed' WHEN event_id % 6 = 3 THEN 'stalled' WHEN event_id % 6 = 4 THEN 'running' ELSE 'ended_unknown' END AS run FROM events) GROUP BY run")
+def run_status(spark, sf):
+    k = F.col("event_id") % 6
+    status = cases.run_status(k > 0, F.when(k == 1, 0).when(k == 2, 3), k.isin(3, 4), F.when(k == 3, 500).otherwise(5))
+    return table(spark, sf, "events").groupBy(status.alias("run")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT category, placeholder, 1 AS n FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in PLACEHOLDERS.items()) + ", ('strange', '[OTHER_PII]')) v(category, placeholder)")
+def category_placeholders(spark, sf):
+    rows = spark.createDataFrame([(c,) for c in [*PLACEHOLDERS, "strange"]], "category string")
+    return rows.select("category", pii.placeholder(F.col("category")).alias("placeholder"), F.lit(1).alias("n"))
+
+
