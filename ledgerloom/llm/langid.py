@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import as_bytes, by_bytes, fresh, mapped, text_batches
 
-ORDER, CONTEXTS, TRAIN_DOCS, TRAIN_BYTES, UNKNOWN = 3, 12_000, 300, 1_000_000, "und"
+ORDER, CONTEXTS, TRAIN_DOCS, TRAIN_BYTES, PARTS, UNKNOWN = 3, 12_000, 300, 1_000_000, 64, "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -125,8 +125,10 @@ def learn(docs: DataFrame, docs_of_lang: int = TRAIN_DOCS, bytes_of_lang: int =
     """Trains on a bounded sample of docs (doc_id, text, lang): of each language, whole documents in the order of a hash of doc_id,
     at most docs_of_lang of them, until bytes_of_lang bytes are reached. Rows with a null id, text or lang teach nothing."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= docs_of_lang)
+    by = F.xxhash64(F.col("doc_id").cast("string"))
+    first = lambda df, *keys: df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("by", "doc_id"))).filter(F.col("place") <= docs_of_lang)
+    # A language that has most rows is cut to its best by parts first.
+    ids = first(first(known.select("doc_id", "lang", by.alias("by")).withColumn("part", F.pmod("by", F.lit(PARTS))), "lang", "part"), "lang")
     place = {(r.doc_id, r.lang): r.place for r in ids.collect()}  # at most docs_of_lang rows a language
     some = known.filter(F.col("doc_id").isin(sorted({k[0] for k in place}))).select("doc_id", "lang", "text") if place else known.select("doc_id", "lang", "text").limit(0)
     samples: dict[str, list[bytes]] = {}

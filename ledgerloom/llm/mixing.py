@@ -44,9 +44,9 @@ def shares(cells: DataFrame, margin: str, power: float, targets: dict[str, float
         pairs = [F.lit(x) for k, v in targets.items() for x in (k, float(v))]
         raw = F.coalesce(F.element_at(F.create_map(*pairs), F.col(margin)), F.lit(0.0)) if pairs else F.lit(0.0)
     levels = levels.withColumn("raw", raw)
-    total = levels.agg(F.sum("raw").alias("all"), F.sum("t").alias("tokens"))
-    share = F.when(F.col("all") > 0, F.col("raw") / F.col("all")).otherwise(F.col("t") / F.col("tokens"))
-    return levels.crossJoin(F.broadcast(total)).select(margin, share.alias("target"))  # one row
+    total = levels.agg(F.sum("raw").alias("all"), F.sum("t").alias("tokens")).first()
+    share = F.col("raw") / F.lit(float(total["all"])) if (total["all"] or 0) > 0 else F.col("t") / F.lit(float(total["tokens"] or 1))
+    return levels.select(margin, share.alias("target"))
 
 
 def rake(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame], sweeps: int = 50, tolerance: float = 1e-6) -> DataFrame:
