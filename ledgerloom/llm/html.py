@@ -4,7 +4,7 @@ A tolerant tokenizer builds a tree of elements. Boilerplate elements go first: b
 of class, id or role (menu, sidebar, advert, cookie notice, comments ...). Each block of text that is left is a paragraph: it
 gives a point, one for each comma and up to three for its length to its container, half of that to the next and a third of
 half to those above. A container's score is discounted by its link density. The best container is kept, with siblings whose
-score is near its own or that are plain paragraphs.
+score is near its own or that are plain paragraphs, lists or tables. A container inside an article or main stands for all of it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 GONE = set(RAW) | set("head nav footer aside form button select input label fieldset menu dialog audio video datalist".split())
 BLOCK = set("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside".split())
 CLOSES_P = BLOCK - set("dd dt li tbody td tfoot th thead tr html body".split()) | {"p"}
-CONTAINER = set("article main section div body td blockquote".split())
+CONTAINER = set("article main section div body html td blockquote".split())
+PLAIN = set("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl table figure".split())
 BAD_WORDS = set(
     "ad ads advert adverts advertisement advertising adslot banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert menu menus nav navbar navigation breadcrumb breadcrumbs"
     " sidebar footer masthead topbar toolbar header comment comments disqus respond reply replies discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager skip widget copyright"
@@ -188,6 +189,10 @@ def main_text(html: str) -> str:
         return (x.score + bonus) * (1 - x.link_len / max(1, x.text_len))
 
     best = max(scored, key=final)
+    up = best  # a part of an article stands for all of it
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    best = up or best
     top, edge = final(best), max(10.0, 0.2 * final(best))
     kept = {id(best)}
     for x in best.parent.kids if best.parent is not None else ():
@@ -195,7 +200,7 @@ def main_text(html: str) -> str:
             continue
         inside = [(t, k) for _, t, k in blocks(x)] if not boilerplate(x) else []
         size, linked = sum(len(t) for t, _ in inside), sum(k for _, k in inside)
-        plain = x.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and size and linked / size < (0.25 if size > 80 else 0.01)
+        plain = x.tag in PLAIN and size and linked / size < (0.25 if size > 80 else 0.01)
         if inside and (plain or x.tag in CONTAINER and top > 0 and final(x) >= edge):
             kept.add(id(x))
 

@@ -55,10 +55,10 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame], sw
     now = materialise(fixed.withColumn("w", F.col("n").cast("double")), "cells")
     for _ in range(sweeps):
         for m in margins:
-            sums = now.groupBy(m).agg(F.sum("w").alias("s"))
-            now = now.join(sums, m).withColumn("w", F.when(F.col("s") > 0, F.col("w") * F.col(f"target_{m}") / F.col("s")).otherwise(0.0)).drop("s")
+            sums = now.groupBy(m).agg(F.sum("w").alias("of level"))
+            now = now.join(sums, m).withColumn("w", F.when(F.col("of level") > 0, F.col("w") * F.col(f"target_{m}") / F.col("of level")).otherwise(0.0)).drop("of level")
         now = materialise(now, "cells")
-        off = [now.groupBy(m, f"target_{m}").agg(F.sum("w").alias("s")).select(F.abs(F.col("s") - F.col(f"target_{m}")).alias("off")) for m in margins]
+        off = [now.groupBy(m, f"target_{m}").agg(F.sum("w").alias("of level")).select(F.abs(F.col("of level") - F.col(f"target_{m}")).alias("off")) for m in margins]
         worst = reduce(DataFrame.union, off).agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break

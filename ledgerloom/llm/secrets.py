@@ -48,6 +48,8 @@ def samples() -> list[tuple[str, int]]:
         a, b = pairs[i * 7919 % len(pairs)]
         c, d = pairs[i * 104729 % len(pairs)]
         out += [(f"{a}_{b}_{c}", 0), (a + b.title() + c.title() + d.title(), 0), (f"{a}-{b}-{c}-{d}", 0), (f"/{a}/{b}/{c}/{d}", 0), (a + b + c + d, 0), (f"{a.upper()}_{b.upper()}_{i % 100}", 0), (f"{a}_{b}{i % 10}", 0)]
+        out += [(f"{1990 + i % 40}-{i % 12 + 1:02}-{i % 28 + 1:02}T{i % 24:02}-{i % 60:02}-00-{a}", 0), (f"{a}-{i * i}/{b}-v{i % 9}", 0)]
+    out += [(c * 24 + str(i % 10), 0) for i, c in enumerate(ALPHABET) for _ in range(3)]
     return out
 
 
