@@ -18,20 +18,20 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 def read_contracts(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, json, data): every .json file below root, whole, with its value as VARIANT; null data where it is no JSON."""
-    got = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    got = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
     path = F.input_file_name()
     return got.select(path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("name"), F.col("value").alias("json"), F.try_parse_json("value").alias("data"))
 
 
 def read_page_texts(spark: SparkSession, root: str) -> DataFrame:
     """(path, page, text) of page_NNN.md files."""
-    got = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "page_*.md").text(root)
+    got = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "page_*.md").text(root, wholetext=True)
     return got.select(F.input_file_name().alias("path"), F.regexp_extract(F.input_file_name(), r"page_(\d+)\.md$", 1).cast("long").alias("page"), F.col("value").alias("text"))
 
 
 def read_phrases(spark: SparkSession, path: str) -> DataFrame:
     """(pos, phrase): first column of a Markdown table, without its header, its rule and empty cells."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     cell = F.regexp_replace(F.trim(F.split("line", r"\|").getItem(1)), r'^["“]|["”]$', "")
     rows = rows.filter(F.col("line").rlike(r"^\s*\|")).select("pos", cell.alias("phrase"))
     rule = rows.filter(F.col("phrase").rlike(r"^[-: ]+$")).agg(F.min("pos").alias("rule"))
