@@ -14,96 +14,112 @@ from pyspark.sql import functions as F
 TYPES = {"string": "STRING%", "boolean": "BOOLEAN%", "object": "OBJECT<%", "array": "ARRAY<%", "null": "VOID%", "integer": "BIGINT%"}
 
 
-def _is(v: Column, kind: str) -> Column:
-    of = F.schema_of_variant(v)
+class Node:
+    """An instance and the name of its type, each worked out once: both are variables of a lambda that the node is bound to."""
+
+    def __init__(self, v: Column, of: Column):
+        self.v, self.of = v, of
+
+    @staticmethod
+    def bind(v: Column, check) -> Column:
+        """check(node) for v, an array of errors; none if v is absent."""
+        held = F.filter(F.array(F.struct(v.alias("v"), F.schema_of_variant(v).alias("of"))), lambda x: x["v"].isNotNull())
+        return F.flatten(F.transform(held, lambda x: check(Node(x["v"], x["of"]))))
+
+    def get(self, path: str, kind: str) -> Column:
+        return F.try_variant_get(self.v, path, kind)
+
+
+def _is(n: Node, kind: str) -> Column:
     if kind == "number":
-        return of.like("BIGINT%") | of.like("DOUBLE%") | of.like("DECIMAL%") | of.like("FLOAT%")
+        return n.of.like("BIGINT%") | n.of.like("DOUBLE%") | n.of.like("DECIMAL%") | n.of.like("FLOAT%")
     if kind == "integer":  # 1.0 is an integer
-        n = F.try_variant_get(v, "$", "double")
-        return _is(v, "number") & F.coalesce(n == F.floor(n), F.lit(False))
-    return of.like(TYPES[kind])
+        x = n.get("$", "double")
+        return _is(n, "number") & F.coalesce(x == F.floor(x), F.lit(False))
+    return n.of.like(TYPES[kind])
 
 
-def _text(v: Column) -> Column:
-    return F.when(_is(v, "string"), F.try_variant_get(v, "$", "string"))
+def _text(n: Node) -> Column:
+    return F.when(_is(n, "string"), n.get("$", "string"))
 
 
-def _number(v: Column) -> Column:
-    return F.when(_is(v, "number"), F.try_variant_get(v, "$", "double"))
+def _number(n: Node) -> Column:
+    return F.when(_is(n, "number"), n.get("$", "double"))
 
 
 def _error(bad: Column, path: Column, code: str) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), F.array(F.concat_ws(": ", path, F.lit(code)))).otherwise(F.array().cast("array<string>"))
 
 
-def _same(v: Column, values: list) -> Column:
-    return F.to_json(v).isin([json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in values])
+def _same(n: Node, values: list) -> Column:
+    return F.to_json(n.v).isin([json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in values])
 
 
 def errors(v: Column, schema, registry: dict[str, dict] | None = None) -> Column:
     """Sorted "path: keyword" strings, empty if the instance is valid; a null instance (no JSON) has the one error "$: json"."""
-    found = F.array_sort(F.array_distinct(_compile(v, schema, schema, registry or {}, F.lit("$"))))
+    found = F.array_sort(F.array_distinct(Node.bind(v, lambda n: _compile(n, schema, schema, registry or {}, F.lit("$")))))
     return F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(found)
 
 
-def _compile(v: Column, s, root, registry: dict, path: Column) -> Column:
+def _compile(n: Node, s, root, registry: dict, path: Column) -> Column:
     none = F.array().cast("array<string>")
     if s is True:
         return none
     if s is False:
         return F.array(F.concat_ws(": ", path, F.lit("false")))
     out: list[Column] = []
-    sub = lambda x, part, at: _compile(x, part, root, registry, at)
-    ok = lambda part: F.size(sub(v, part, path)) == 0
+    here = lambda part: _compile(n, part, root, registry, path)
+    child = lambda x, part, at: Node.bind(x, lambda c: _compile(c, part, root, registry, at))
+    ok = lambda part: F.size(here(part)) == 0
     if "$ref" in s:
         file, _, place = s["$ref"].partition("#")
         top = registry[file] if file else root
         part = top
         for key in filter(None, place.split("/")):
             part = part[key]
-        out.append(_compile(v, part, top, registry, path))
+        out.append(_compile(n, part, top, registry, path))
     if "type" in s:
         kinds = s["type"] if isinstance(s["type"], list) else [s["type"]]
-        fits = _is(v, kinds[0])
+        fits = _is(n, kinds[0])
         for k in kinds[1:]:
-            fits = fits | _is(v, k)
+            fits = fits | _is(n, k)
         out.append(_error(~fits, path, "type"))
     if "enum" in s:
-        out.append(_error(~_same(v, s["enum"]), path, "enum"))
+        out.append(_error(~_same(n, s["enum"]), path, "enum"))
     if "const" in s:
-        out.append(_error(~_same(v, [s["const"]]), path, "const"))
-    for key, bad in (("minimum", lambda n, x: n < x), ("maximum", lambda n, x: n > x)):
+        out.append(_error(~_same(n, [s["const"]]), path, "const"))
+    for key, bad in (("minimum", lambda a, b: a < b), ("maximum", lambda a, b: a > b)):
         if key in s:
-            out.append(_error(bad(_number(v), s[key]), path, key))
+            out.append(_error(bad(_number(n), s[key]), path, key))
     if "minLength" in s:
-        out.append(_error(F.length(_text(v)) < s["minLength"], path, "minLength"))
+        out.append(_error(F.length(_text(n)) < s["minLength"], path, "minLength"))
     if "pattern" in s:
-        out.append(_error(~_text(v).rlike(s["pattern"]), path, "pattern"))
+        out.append(_error(~_text(n).rlike(s["pattern"]), path, "pattern"))
     if s.get("format") == "date":
-        text = _text(v)
+        text = _text(n)
         out.append(_error(text.isNotNull() & (F.try_to_date(text, "yyyy-MM-dd").isNull() | ~text.rlike(r"^\d{4}-\d\d-\d\d$")), path, "format"))
     elif s.get("format") == "date-time":
-        text = _text(v)
+        text = _text(n)
         out.append(_error(text.isNotNull() & (F.try_to_timestamp(text).isNull() | ~text.rlike(r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$")), path, "format"))
-    member = lambda key: F.try_variant_get(v, f"$['{key}']", "variant")
+    member = lambda key: n.get(f"$['{key}']", "variant")
     for key in s.get("required", []):
-        out.append(_error(_is(v, "object") & member(key).isNull(), path, f"required {key}"))
+        out.append(_error(_is(n, "object") & member(key).isNull(), path, f"required {key}"))
     for key, part in s.get("properties", {}).items():
-        out.append(F.when(_is(v, "object") & member(key).isNotNull(), sub(member(key), part, F.concat(path, F.lit(f".{key}")))).otherwise(none))
+        out.append(child(F.when(_is(n, "object"), member(key)), part, F.concat(path, F.lit(f".{key}"))))
     if s.get("additionalProperties", True) is not True:
         known = list(s.get("properties", {}))
-        rest = F.map_entries(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(known) if known else F.lit(True)))
-        each = F.flatten(F.transform(rest, lambda e: sub(e["value"], s["additionalProperties"], F.concat(path, F.lit("."), e["key"]))))
-        out.append(F.when(_is(v, "object"), F.coalesce(each, none)).otherwise(none))
-    list_of = F.when(_is(v, "array"), F.try_variant_get(v, "$", "array<variant>"))
+        rest = F.map_entries(F.map_filter(n.get("$", "map<string,variant>"), lambda k, _: ~k.isin(known) if known else F.lit(True)))
+        each = F.flatten(F.transform(rest, lambda e: child(e["value"], s["additionalProperties"], F.concat(path, F.lit("."), e["key"]))))
+        out.append(F.when(_is(n, "object"), F.coalesce(each, none)).otherwise(none))
+    list_of = F.when(_is(n, "array"), n.get("$", "array<variant>"))
     if "minItems" in s:
         out.append(_error(F.size(list_of) < s["minItems"], path, "minItems") if s["minItems"] else none)
     if "maxItems" in s:
         out.append(_error(F.size(list_of) > s["maxItems"], path, "maxItems"))
     if "items" in s:
-        each = F.flatten(F.transform(list_of, lambda x, i: sub(x, s["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+        each = F.flatten(F.transform(list_of, lambda x, i: child(x, s["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
         out.append(F.coalesce(each, none))
-    out += [sub(v, part, path) for part in s.get("allOf", [])]
+    out += [here(part) for part in s.get("allOf", [])]
     if "anyOf" in s:
         any_ok = F.lit(False)
         for part in s["anyOf"]:
@@ -112,5 +128,5 @@ def _compile(v: Column, s, root, registry: dict, path: Column) -> Column:
     if "not" in s:
         out.append(_error(ok(s["not"]), path, "not"))
     if "if" in s:
-        out.append(F.when(ok(s["if"]), sub(v, s.get("then", True), path)).otherwise(sub(v, s.get("else", True), path)))
+        out.append(F.when(ok(s["if"]), here(s.get("then", True))).otherwise(here(s.get("else", True))))
     return F.concat(*out) if out else none

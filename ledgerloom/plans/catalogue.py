@@ -35,6 +35,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def without_emails(text):
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, "[EMAIL]")).otherwise(text)
+
+
 def turns(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), "text")
 
@@ -76,7 +80,8 @@ def pii_digit_runs(spark, sf):
 
 @query(rf"SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS email FROM documents")
 def pii_email(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("email"))
+    docs = table(spark, sf, "documents").filter(F.contains("text", F.lit("@")))
+    return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("email"))
 
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9])\(?[0-9]{2,3}\)?[-.\s]+[0-9]{3,4}[-.\s]+[0-9]{4}([^0-9]|$)')")
@@ -95,7 +100,7 @@ def pii_scan_all_kinds(spark, sf):
 
 @query(rf"SELECT doc_id, sha256(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g')) AS digest FROM documents")
 def redact_emails(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(F.regexp_replace("text", EMAIL, "[EMAIL]"), 256).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(without_emails(F.col("text")), 256).alias("digest"))
 
 
 def redacted(spark, sf) -> DataFrame:
@@ -124,7 +129,7 @@ WITH r AS (SELECT lang, regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g') AS t FRO
 SELECT lang, count(*) AS n, count(*) FILTER (WHERE regexp_matches(t, '[0-9]{{11,}}')) AS n_leaking FROM r GROUP BY lang
 """)
 def residual_leak_gate(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", EMAIL, "[EMAIL]"))
+    docs = table(spark, sf, "documents").withColumn("text", without_emails(F.col("text")))
     clean, leaking = pii.gate(docs, "text", [*RUN_KINDS, "email"])
     both = clean.select("lang", F.lit(0).alias("leak")).union(leaking.select("lang", F.lit(1)))
     return both.groupBy("lang").agg(F.count("*").alias("n"), F.sum("leak").alias("n_leaking"))
@@ -425,7 +430,7 @@ SELECT doc_id, item_id, CAST(a AS BIGINT) AS start, CAST(a + n AS BIGINT) AS sto
 def quote_in_page(spark, sf):
     """Quotes by their place in a page, and whether they touch its uncertain region of characters 100 to 200."""
     quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
-    got = table(spark, sf, "documents").select("doc_id", "text").join(quotes, F.contains("text", "quote"))
+    got = reports.containing(table(spark, sf, "documents").select("doc_id", "text"), "text", quotes, "quote")
     a = F.call_function("instr", F.col("text"), F.col("quote")).cast("long") - 1
     got = got.select("doc_id", "item_id", a.alias("start"), (a + F.length("quote")).alias("stop"))
     return got.withColumn("review", (F.col("start") < 200) & (F.col("stop") > 100))
