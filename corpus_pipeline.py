@@ -13,7 +13,7 @@ from ledgerloom.llm.common import fresh, materialise
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: no letters, or none of the learned languages codes them in fewer than 8 bits a byte."""
+    """Rejects documents without a language: no letters, or none of the learned languages codes them in about 8 bits a byte or fewer."""
     model = langid.learn(docs.filter(~langid.held_out("doc_id")))
     return langid.identify(docs, model, reject=True)
 

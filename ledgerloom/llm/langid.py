@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import as_bytes, by_bytes, fresh, mapped, text_batches
 
-ORDER, CONTEXTS, TRAIN_DOCS, TRAIN_BYTES, PARTS, UNKNOWN = 3, 12_000, 300, 1_000_000, 64, "und"
+ORDER, CONTEXTS, TRAIN_DOCS, TRAIN_BYTES, PARTS, SLACK, UNKNOWN = 3, 12_000, 300, 1_000_000, 64, 256, "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -149,7 +149,8 @@ def identify(docs: DataFrame, model: Model | None, reject: bool = False) -> Data
 
     lang_pred is the language of the shortest code (ties: the first by name), `und` if the text is null or has no letter or
     nothing was learned; score is its posterior under equal priors (und: 0). Only the column text is read. Rejected, where asked
-    for, are documents that are `und` and those whose best code is no shorter than 8 bits a byte.
+    for, are documents that are `und` and those whose best code is longer than 8 bits a byte by SLACK bits: a short text with a strange
+    word stays.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -167,7 +168,7 @@ def identify(docs: DataFrame, model: Model | None, reject: bool = False) -> Data
                 low = bits.min(1)
                 odds = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1)
                 for i, k, p, x in zip(can, best.tolist(), odds.tolist(), low.tolist()):
-                    lang[i], conf[i], keep[i] = model.langs[k], p, x < 8 * len(texts[i])
+                    lang[i], conf[i], keep[i] = model.langs[k], p, x < 8 * len(texts[i]) + SLACK
             if reject:
                 yield b.filter(pa.array(keep))
             else:
