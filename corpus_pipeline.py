@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, mixing, packing, secrets, simhash
-from ledgerloom.llm.common import fresh, materialise
+from ledgerloom.llm.common import discard, fresh, materialise
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,9 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for place, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if place < len(STAGES) - 1:
-            docs = materialise(docs, "stage")
-    return docs
+    for place, (_, stage) in enumerate(STAGES[:-1]):
+        made = materialise(stage(spark, docs, sf_dir), "stage")
+        if place:
+            discard(docs)  # the next stage's table is whole
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXT_ROWS, SMALL_ROWS = 1000, 100_000
 _own: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}  # of each application, the paths of what materialise has written
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and outlives any executor."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._llm_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a result of materialise that nothing reads any more."""
+    _delete(df.sparkSession, df._llm_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables of this session; results that were not written elsewhere can't be read any more."""
+    for path in list(_tables.get(spark.sparkContext.applicationId, [])):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _tables[spark.sparkContext.applicationId].remove(path)
 
 
 def text_batches(spark: SparkSession) -> None:
@@ -104,7 +125,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         e2 = large.join(low, "u")
         small = e2.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, "edges")
+        old, e = e, materialise(small, "edges")
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

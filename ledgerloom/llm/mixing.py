@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import fresh, materialise
+from ledgerloom.llm.common import discard, fresh, materialise
 
 NONE = "\x00none"  # the level of a null
 TOPICS = [("license", r"(?i)licen[cs]e|copyright|all rights reserved"), ("contact", r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]"), ("code", r"[{}<>=;]|\w\(")]
@@ -52,12 +52,14 @@ def shares(cells: DataFrame, margin: str, power: float, targets: dict[str, float
 def rake(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame], sweeps: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """cells (margins, n) with column w: raked weights that sum to 1. Stops when no margin is off by more than the tolerance, or after `sweeps`."""
     fixed = reduce(lambda df, m: df.join(targets[m].withColumnRenamed("target", f"target_{m}"), m), margins, cells.filter("n > 0"))
-    now = materialise(fixed.withColumn("w", F.col("n").cast("double")), "cells")
+    now = kept = materialise(fixed.withColumn("w", F.col("n").cast("double")), "cells")
     for _ in range(sweeps):
         for m in margins:
             sums = now.groupBy(m).agg(F.sum("w").alias("of level"))
             now = now.join(sums, m).withColumn("w", F.when(F.col("of level") > 0, F.col("w") * F.col(f"target_{m}") / F.col("of level")).otherwise(0.0)).drop("of level")
-        now = materialise(now, "cells")
+        old, now = kept, materialise(now, "cells")
+        kept = now
+        discard(old)
         off = [now.groupBy(m, f"target_{m}").agg(F.sum("w").alias("of level")).select(F.abs(F.col("of level") - F.col(f"target_{m}")).alias("off")) for m in margins]
         worst = reduce(DataFrame.union, off).agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:

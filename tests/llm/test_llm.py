@@ -446,3 +446,14 @@ def test_pipeline_run_packs_what_its_stages_keep(spark, sf):
     got = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in got} == set(texts)
     check_packed(got, texts)
+
+
+def test_tables_can_be_released(spark):
+    import os
+
+    from ledgerloom.llm.common import materialise, release
+
+    made = materialise(spark.range(3), "kept")
+    assert made.count() == 3 and os.path.exists(made._llm_path.removeprefix("file:"))
+    release(spark)
+    assert not os.path.exists(made._llm_path.removeprefix("file:"))
