@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as tx
 from ledgerloom.functions.codes import FREQUENCY, PLACEHOLDERS, SCHEMAS
-from ledgerloom.operators import cases, pages, pii, reports, rules
+from ledgerloom.operators import cases, pages, pii, replies, reports, reviews, rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -549,3 +549,170 @@ def category_placeholders(spark, sf):
     return rows.select("category", pii.placeholder(F.col("category")).alias("placeholder"), F.lit(1).alias("n"))
 
 
+@query("""
+WITH d AS (SELECT user_id AS f, event_id, ts, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'pending' END AS status, event_id % 3 <> 0 AS signed FROM events),
+g AS (SELECT f, arg_max(CASE WHEN status = 'rejected' THEN 'rejected:why' ELSE status END, (ts, event_id)) AS s FROM d WHERE status = 'pending' OR signed GROUP BY f)
+SELECT CAST(c_custkey AS BIGINT) AS file, coalesce(split_part(s, ':', 1), 'pending') AS review_status, nullif(split_part(s, ':', 2), '') AS rejection_reason FROM customer LEFT JOIN g ON f = c_custkey
+""")
+def ledger_decisions(spark, sf):
+    """The review log of the files on the roster: unsigned approvals and rejections without a reason change nothing."""
+    status = F.when(F.col("event_type") == "purchase", "approved").when(F.col("event_type") == "error", "rejected").otherwise("pending")
+    signed = F.col("event_id") % 3 != 0
+    log = table(spark, sf, "events").select(F.col("user_id").alias("file"), F.struct("ts", "event_id").alias("at"), status.alias("status"), F.when(signed, "kim").alias("reviewer"), F.when(signed, "why").alias("reason"))
+    entries = table(spark, sf, "customer").select(F.col("c_custkey").alias("file"))
+    return reviews.decide_ledger(entries, log, ["file"], "at")[0].select("file", "review_status", "rejection_reason")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS topic, l_orderkey % 50 AS case_id FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2),
+n AS (SELECT case_id, topic, 'CONFLICT_' || row_number() OVER (PARTITION BY case_id ORDER BY topic) AS conflict_id FROM c),
+v AS (SELECT *, CASE WHEN topic % 3 = 0 THEN 'resolved' WHEN topic % 3 = 1 AND topic % 2 = 0 THEN 'false_positive' ELSE 'pending' END AS verdict FROM n)
+SELECT case_id, count(*) AS n, count(*) FILTER (WHERE verdict = 'pending') AS n_pending, min(CASE WHEN verdict = 'pending' THEN conflict_id END) AS first_pending FROM v GROUP BY case_id
+""")
+def conflict_verdicts(spark, sf):
+    """Conflicts of fifty cases, numbered, and the verdicts on them; one without a note leaves its conflict pending."""
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("topic")).agg(F.collect_list("l_linenumber").alias("sources")).withColumn("case_id", F.col("topic") % 50)
+    got, _ = reviews.raise_conflicts(rows, "case_id", ["topic"], "sources")
+    made = got.select("case_id", "topic", "conflict_id", "verdict")
+    said = F.when(F.col("topic") % 3 == 0, "resolved").otherwise("false_positive")
+    note = F.when((F.col("topic") % 3 == 0) | (F.col("topic") % 2 == 0), "seen")
+    verdicts = made.filter("topic % 3 <> 2").select("case_id", "conflict_id", F.lit(1).alias("at"), said.alias("verdict"), note.alias("note"))
+    settled, _ = reviews.settle_conflicts(made, verdicts, ["case_id", "conflict_id"], "at")
+    waits = F.col("verdict") == "pending"
+    return settled.groupBy("case_id").agg(F.count("*").alias("n"), F.count_if(waits).alias("n_pending"), F.min(F.when(waits, F.col("conflict_id"))).alias("first_pending"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_type <> 'view' THEN 'denied: stage' WHEN l.doc_id IS NULL OR quality = 0 THEN 'denied: review' ELSE 'allowed' END AS access
+FROM events LEFT JOIN labels l ON l.doc_id = user_id
+""")
+def truth_access(spark, sf):
+    """Requests for the answer key: only the evaluation gets it, and only where a valid review is complete."""
+    found = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), F.lit("v1").alias("version"), F.when(F.col("quality") == 0, F.array(F.lit("$: json"))).otherwise(F.array().cast("array<string>")).alias("errors"))
+    flags, _ = reviews.complete_reviews(found.select("case_id", "version"), found, "errors")
+    asked = table(spark, sf, "events").select("event_id", F.col("user_id").alias("case_id"), F.lit("v1").alias("version"), F.when(F.col("event_type") == "view", "evaluation").otherwise(F.col("event_type")).alias("caller_stage"))
+    return reviews.truth_access(asked, flags).select("event_id", "access")
+
+
+@query("""
+SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'expert_review_only' WHEN l.doc_id IS NULL THEN 'not_extracted' ELSE 'ok' END AS access, CASE WHEN l.toxic = 0 THEN length(d.text) ELSE 0 END AS n
+FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def document_text_access(spark, sf):
+    """Texts are read where they are redacted, and never from documents kept for experts."""
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "toxic")
+    listed = docs.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.when(F.col("toxic") == 1, "expert_review_only").alias("downstream_disposition"))
+    got = reviews.document_texts(listed, docs.join(labels, "doc_id", "left_semi"), ["doc_id"], "text")
+    return got.select("doc_id", "access", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT conv_id, count(*) AS pages, count(CASE WHEN conv_id % 5 = 0 THEN text END) AS texts FROM conversations GROUP BY conv_id)
+SELECT conv_id, pages, CASE WHEN conv_id % 4 = 0 THEN 'role' WHEN conv_id % 3 = 0 THEN 'signature' WHEN conv_id % 7 = 0 THEN 'status' WHEN texts > 0 THEN 'text' WHEN conv_id % 11 = 0 THEN 'contracts' ELSE 'ok' END AS outcome
+FROM p
+""")
+def non_text_resolution(spark, sf):
+    """People declare every conversation an image without text; the first rule that a declaration breaks refuses it."""
+    c = F.col("conv_id")
+    rows = turns(spark, sf).select("conv_id", F.when(c % 5 == 0, F.col("text")).alias("text_path"))
+    ids = rows.groupBy("conv_id").agg(F.count("*").alias("n"))
+    docs = ids.select("conv_id", F.when(c % 7 == 0, "agreed").otherwise("disagreed_pending_review").alias("cross_validation_status"))
+    said = ids.select("conv_id", F.lit("kim").alias("verified_by"), F.when(c % 3 == 0, " ").otherwise("a photo").alias("note"), F.when(c % 4 == 0, "clerk").otherwise("의사").alias("reviewer_role"))
+    good, refused = reviews.resolve_non_text(docs, rows, said, ids.filter(c % 11 == 0), "conv_id")
+    outcome = good.select("conv_id", F.lit("ok").alias("outcome")).union(refused.select("conv_id", "error"))
+    return outcome.join(ids, "conv_id").select("conv_id", F.col("n").alias("pages"), "outcome")
+
+
+@query("""
+SELECT conv_id, count(*) FILTER (WHERE contains(text, ' ')) AS items_redacted, string_agg(DISTINCT role, ',' ORDER BY role) AS categories, bool_or(turn = 5) AS review_required,
+  string_agg('<<<PAGE page=' || (turn + 1) || '>>>' || chr(10) || text, chr(10) ORDER BY turn) || chr(10) AS redacted_text FROM conversations GROUP BY conv_id
+""")
+def redaction_rollup(spark, sf):
+    """Pages of redacted text as a document, with what was redacted and whether a page warns."""
+    warn = F.when(F.col("turn") == 5, F.array(F.lit("glued"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf, "conversations").select("conv_id", F.col("turn") + 1, "text", F.contains("text", F.lit(" ")).cast("long").alias("items"), F.array("role").alias("categories"), warn.alias("warnings"))
+    got = reviews.redaction_rollup(rows.toDF("conv_id", "page", "text", "items", "categories", "warnings"), "conv_id", "page", "text", "items", "categories", "warnings")
+    return got.withColumn("categories", F.array_join("categories", ","))
+
+
+@query("""
+WITH s AS (SELECT user_id AS case_id, event_type, bool_or(event_id % 4 = 0) AS saved FROM events GROUP BY 1, 2)
+SELECT case_id, count(*) FILTER (WHERE saved) + 1 AS step FROM s GROUP BY case_id
+""")
+def snapshot_steps(spark, sf):
+    """The number of each user's next snapshot, by the stages that have one."""
+    rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("case_id"), "event_type").agg(F.max(F.when(F.col("event_id") % 4 == 0, "path")).alias("path"))
+    return reviews.next_snapshot(rows, "case_id", "path")
+
+
+VERDICTS = "supported not_supported partially_supported insufficient_evidence".split()
+
+
+@query("""
+WITH v AS (SELECT o_orderkey, o_custkey % 4 AS k FROM orders WHERE o_custkey % 9 <> 0), p AS (SELECT l_orderkey AS o_orderkey, sum(l_quantity) AS quantity FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1),
+o AS (SELECT * FROM v WHERE k IN (1, 2))
+SELECT CASE k WHEN 1 THEN 'not_supported' ELSE 'partially_supported' END AS verdict, count(*) AS n, count(quantity) AS n_answered, CAST(round(sum(quantity), 2) AS DOUBLE) AS quantity FROM o LEFT JOIN p USING (o_orderkey) GROUP BY k
+UNION ALL SELECT 'stray', count(*), 0, CAST(round(sum(quantity), 2) AS DOUBLE) FROM p WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o)
+""")
+def rebuttal_join(spark, sf):
+    """Reasons, verdicts on them and answers: only reasons that do not hold are answered, other answers are strays."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    verdict = F.element_at(F.array(*map(F.lit, VERDICTS)), (F.col("o_custkey") % 4 + 1).cast("int"))
+    judged = orders.filter(F.col("o_custkey") % 9 != 0).select("o_orderkey", verdict.alias("verdict"))
+    points = table(spark, sf, "lineitem").filter(F.col("l_orderkey") % 5 != 0).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("quantity"))
+    got, stray = reviews.rebuttable(orders, judged, points, ["o_orderkey"])
+    total = F.round(F.sum("quantity"), 2).alias("quantity")
+    return got.groupBy("verdict").agg(F.count("*").alias("n"), F.count("quantity").alias("n_answered"), total).union(stray.agg(F.lit("stray"), F.count("*"), F.lit(0).cast("long"), total))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 'no conflict' WHEN event_id % 2 = 1 AND event_id % 3 <> 0 THEN 'stray conflict' WHEN event_id % 3 = 2 AND user_id % 4 = 0 THEN 'unknown conflict' END AS error FROM events
+""")
+def conflict_link_check(spark, sf):
+    """Consistency checks against the conflict ledger of their case; every fourth case lacks its second conflict."""
+    e, rows = F.col("event_id"), table(spark, sf, "events")
+    checks = rows.select("event_id", F.col("user_id").alias("case_id"), F.when(e % 2 == 0, "inconsistent").otherwise("consistent").alias("result"), F.when(e % 3 != 0, F.concat(F.lit("CONFLICT_"), (e % 3).cast("string"))).alias("conflict_id"))
+    ids = rows.select(F.col("user_id").alias("case_id")).distinct()
+    ledger_rows = ids.select("case_id", F.explode(F.array(F.lit("CONFLICT_1"), F.lit("CONFLICT_2"))).alias("conflict_id")).filter("NOT (case_id % 4 = 0 AND conflict_id = 'CONFLICT_2')")
+    return reviews.conflict_links(checks, ledger_rows, "case_id").select("event_id", "error")
+
+
+@query("""
+SELECT conv_id, CAST(sum(turn % 3) AS BIGINT) AS uncertain_region_count, avg(CASE WHEN turn % 2 = 0 THEN turn / 8 END) AS document_mean_confidence FROM conversations GROUP BY conv_id
+""")
+def uncertain_regions(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", F.when(F.col("turn") % 3 > 0, F.array_repeat(F.lit("x"), (F.col("turn") % 3).cast("int"))).alias("regions"), F.when(F.col("turn") % 2 == 0, F.col("turn") / 8).alias("confidence"))
+    return reviews.uncertain_rollup(rows, "conv_id", "regions", "confidence")
+
+
+@query("""
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'shape' WHEN 3 THEN 'shape' END AS error,
+  CASE event_id % 6 WHEN 4 THEN 'user ' || user_id || '=email;7=other_pii' WHEN 5 THEN '' END AS items FROM events
+""")
+def pii_reply_parse(spark, sf):
+    """Replies of six kinds: bare text, broken JSON, two wrong shapes, spans after another brace, and an empty list."""
+    kinds = [F.lit("none found"), F.lit('{"pii_items": [broken'), F.lit('{"pii_items": 3}'), F.lit('{"pii_items": [{"text": 5}]}')]
+    spans = F.concat(F.lit('{see} {"pii_items": [{"text": "user '), F.col("user_id").cast("string"), F.lit('", "category": "email"}, {"text": "7", "category": "strange"}]} as {asked}'))
+    reply = F.element_at(F.array(*kinds, spans, F.lit('{"pii_items": []}')), (F.col("event_id") % 6 + 1).cast("int"))
+    rows = table(spark, sf, "events").select("event_id", reply.alias("reply")).select("event_id", replies.pii_items(F.col("reply")).alias("got"))
+    items = F.array_join(F.transform("got.items", lambda i: F.concat_ws("=", i["text"], i["category"])), ";")
+    return rows.select("event_id", F.col("got.error").alias("error"), items.alias("items"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'unknown type' END AS error, CASE event_id % 5 WHEN 3 THEN 'receipt' WHEN 4 THEN 'other' END AS predicted_document_type,
+  CASE event_id % 5 WHEN 3 THEN 0.25 WHEN 4 THEN 0.5 END::DOUBLE AS confidence, CASE event_id % 5 WHEN 3 THEN 'sum' WHEN 4 THEN '' END AS quote FROM events
+""")
+def classification_reply_parse(spark, sf):
+    kinds = ["a receipt", 'x {"a": 1} and {"b": 2}', '{"predicted_document_type": "poem"}', 'It is {"predicted_document_type": "receipt", "confidence": 0.25, "quote": "sum"}.', '{"predicted_document_type": "other"}']
+    reply = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf, "events").select("event_id", reply.alias("reply")).select("event_id", replies.classification(F.col("reply")).alias("got"))
+    return rows.select("event_id", "got.error", "got.predicted_document_type", "got.confidence", "got.quote")
+
+
+@query("""
+SELECT disposition, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'open' WHEN quality = 1 THEN 'accepted' ELSE 'rejected' END AS disposition FROM documents LEFT JOIN labels l USING (doc_id)) GROUP BY 1
+""")
+def finding_dispositions(spark, sf):
+    said = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("disposition"))
+    return reviews.dispositions(table(spark, sf, "documents").select("doc_id"), said, ["doc_id"]).groupBy("disposition").agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as tx
 from ledgerloom.functions.codes import SCHEMAS
-from ledgerloom.operators import cases, pages, pii, reports, rules
+from ledgerloom.operators import cases, pages, pii, replies, reports, reviews, rules
 from ledgerloom.sources import files
 from ledgerloom.streaming import state
 
@@ -161,3 +161,91 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).count() > 0
     assert json.dumps(sorted(e.queries()))
+
+
+def rows(spark, schema, *values):
+    return spark.createDataFrame(list(values), schema)
+
+
+def test_ledger_decisions_need_a_name_or_a_reason(spark):
+    entries = rows(spark, "file string", ("a",), ("b",), ("c",), ("d",))
+    log = rows(
+        spark, "file string, at int, status string, reviewer string, reason string", ("a", 1, "approved", "kim", "ok"), ("a", 2, "approved", " ", None), ("b", 1, "rejected", None, "blank"), ("b", 2, "pending", None, None), ("c", 1, "rejected", "kim", None), ("x", 1, "approved", "kim", None), ("c", 2, None, "kim", None), ("d", 5, "rejected", None, "old")
+    )
+    got, refused = reviews.decide_ledger(entries, log, ["file"], "at")
+    assert sorted((r.file, r.review_status, r.reviewed_by, r.rejection_reason) for r in got.collect()) == [("a", "approved", "kim", None), ("b", "pending", None, None), ("c", "pending", None, None), ("d", "rejected", None, "old")]
+    assert sorted((r.file, r.at, r.error) for r in refused.collect()) == [("a", 2, "reviewer"), ("c", 1, "reason"), ("c", 2, "status"), ("x", 1, "not found")]
+
+
+def test_conflicts_need_two_sources_and_verdicts_a_note(spark):
+    raised = rows(spark, "case_id string, at int, sources array<string>", ("p", 1, ["a", "b"]), ("p", 2, ["a"]), ("p", 3, ["a", "c"]), ("q", 1, ["a", "b"]), ("q", 2, None))
+    made, refused = reviews.raise_conflicts(raised, "case_id", ["at"], "sources")
+    assert sorted((r.case_id, r.at, r.conflict_id) for r in made.collect()) == [("p", 1, "CONFLICT_1"), ("p", 3, "CONFLICT_2"), ("q", 1, "CONFLICT_1")] and refused.count() == 2
+    said = rows(spark, "case_id string, conflict_id string, at int, verdict string, note string", ("p", "CONFLICT_1", 1, "resolved", "a is right"), ("p", "CONFLICT_2", 1, "false_positive", ""), ("p", "CONFLICT_9", 1, "resolved", "x"), ("q", "CONFLICT_1", 1, "resolved", "x"), ("q", "CONFLICT_1", 2, "pending", None))
+    got, bad = reviews.settle_conflicts(made.select("case_id", "conflict_id", "verdict"), said, ["case_id", "conflict_id"], "at")
+    assert sorted((r.case_id, r.conflict_id, r.verdict) for r in got.collect()) == [("p", "CONFLICT_1", "resolved"), ("p", "CONFLICT_2", "pending"), ("q", "CONFLICT_1", "pending")]
+    assert sorted(r.error for r in bad.collect()) == ["not found", "note"]
+
+
+def test_answer_key_opens_after_a_valid_review(spark):
+    found = rows(spark, "case_id string, version string, errors array<string>", ("p", "v1", []), ("p", "v2", ["$: json"]))
+    flags, blocked = reviews.complete_reviews(rows(spark, "case_id string, version string", ("p", "v1"), ("p", "v2"), ("q", "v1")), found, "errors")
+    assert blocked.count() == 2
+    asked = rows(spark, "case_id string, version string, caller_stage string", ("p", "v1", "evaluation"), ("p", "v2", "evaluation"), ("p", "v1", "draft"), ("p", "v1", None))
+    assert sorted(r.access for r in reviews.truth_access(asked, flags).collect()) == ["allowed", "denied: review", "denied: stage", "denied: stage"]
+
+
+def test_documents_for_experts_show_no_text(spark):
+    docs = rows(spark, "doc string, downstream_disposition string", ("a", None), ("b", "expert_review_only"), ("c", None))
+    got = reviews.document_texts(docs, rows(spark, "doc string, text string", ("a", "A"), ("b", "B")), ["doc"], "text")
+    assert sorted((r.doc, r.access, r.text) for r in got.collect()) == [("a", "ok", "A"), ("b", "expert_review_only", None), ("c", "not_extracted", None)]
+
+
+def test_blocked_documents_lose_what_reading_set(spark):
+    docs = rows(spark, "doc string, ocr_status string, document_type string, note string, pages int, bad boolean, n int, state string", ("a", "done", "receipt", "x", 1, True, 4, "disagreed"), ("b", "done", "receipt", "y", 1, None, 4, "disagreed"))
+    got = {r.doc: r for r in reviews.reset_blocked(docs, "bad", "n", "state").collect()}
+    assert (got["a"].ocr_status, got["a"].document_type, got["a"].note, got["a"].pages) == ("failed", None, "x", 4)
+    assert (got["b"].ocr_status, got["b"].document_type, got["b"].pages) == ("done", "receipt", 1)
+
+
+def test_fork_sources_are_one_snapshot(spark):
+    kept = rows(spark, "case_id string, step int, path string", ("p", 1, "p1"), ("p", 2, "p2"), ("p", 2, "p2b"))
+    got = reviews.fork_source(kept, rows(spark, "case_id string, step int", ("p", 1), ("p", 2), ("p", 3)), "step")
+    assert sorted((r.step, r.path, r.error) for r in got.collect()) == [(1, "p1", None), (2, None, "ambiguous"), (3, None, "none")]
+
+
+def test_uncertain_regions_without_confidence(spark):
+    got = reviews.uncertain_rollup(rows(spark, "doc int, regions array<string>, c double", (1, ["x"], 0.5), (1, None, None), (2, [], None)), "doc", "regions", "c")
+    assert sorted((r.doc, r.uncertain_region_count, r.document_mean_confidence) for r in got.collect()) == [(1, 1, 0.5), (2, 0, None)]
+
+
+def test_code_lists_are_compared_both_ways(spark):
+    got = reviews.codebook_drift(rows(spark, "code string", ("a",), ("b",)), rows(spark, "code string", ("b",), ("c",)))
+    assert sorted((r.code, r.side) for r in got.collect()) == [("a", "left"), ("c", "right")]
+    assert one(spark, reviews.stage_key(F.lit("Draft-Report_v 1"))) == "draftreportv1"
+
+
+REPLIES = [
+    (None, None, "not JSON"), ("", None, "not JSON"), ("{", None, "invalid JSON"), ("{]{", None, "invalid JSON"), ("[1]", None, "not JSON"), ('{"pii_items": {}}', None, "shape"), ('{"a": 1} {"pii_items": []}', None, "shape"),
+    ('{"pii_items": [1]}', None, "shape"), ('{"pii_items": [{"text": null}]}', None, "shape"), ('{"pii_items": [null]}', None, "shape"), ('{{"pii_items": [{"text": "a{b"}]}} done', [("a{b", "other_pii")], None),
+    ('ok {x} {"pii_items": [{"text": "홍", "category": "person_name"}, {"text": "", "category": 3}]} {', [("홍", "person_name"), ("", "other_pii")], None),
+]
+
+
+def test_spans_of_replies(spark):
+    df = rows(spark, "n int, reply string", *((n, r) for n, (r, _, _) in enumerate(REPLIES)))
+    got = {r.n: (r.got.items if r.got["items"] is None else [tuple(i) for i in r.got["items"]], r.got.error) for r in df.select("n", replies.pii_items(F.col("reply")).alias("got")).collect()}
+    assert [(v[0] if isinstance(v[0], list) else None, v[1]) for _, v in sorted(got.items())] == [(i, e) for _, i, e in REPLIES]
+
+
+def test_types_of_replies(spark):
+    cases_ = [(None, "not JSON"), ("none", "not JSON"), ("{a}", "invalid JSON"), ('{"predicted_document_type": "receipt"} {}', "invalid JSON"), ('{"predicted_document_type": 3}', "unknown type"), ("{}", "unknown type"), ('so {"predicted_document_type": "receipt"}', None)]
+    df = rows(spark, "n int, reply string", *((n, r) for n, (r, _) in enumerate(cases_)))
+    got = [r.got for r in df.select("n", replies.classification(F.col("reply")).alias("got")).orderBy("n").collect()]
+    assert [g.error for g in got] == [e for _, e in cases_]
+    assert (got[-1].predicted_document_type, got[-1].confidence, got[-1].document_type_label) == ("receipt", 0.5, "")
+
+
+def test_readers_of_one_kind(spark):
+    got = one(spark, replies.reader_independence(F.lit("a"), F.lit(None).cast("string"), F.lit("a"), F.lit("n/a")))
+    assert (got.mode, got.same_reader) == ("single_technology_weak_p8_poc", True)
