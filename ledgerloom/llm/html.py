@@ -30,13 +30,16 @@ PLAIN = set("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl table figure".split())
 BAD_WORDS = set(
     "ad ads advert adverts advertisement advertising adslot banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert menu menus nav navbar navigation breadcrumb breadcrumbs"
     " sidebar footer masthead topbar toolbar header comment comments disqus respond reply replies discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager skip widget copyright"
-    " disclaimer outbrain taboola hidden".split()
+    " disclaimer outbrain taboola hidden commentlist commentform adsense adbox sidenav topnav subnav aside feedback reactions".split()
 )
+# First words of a class that only tells of a layout, and of one that names an article's own headline.
+LAYOUT_WORDS = set("has no with without is not".split())
+OWN_HEADER = set("article entry post story".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|$)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
-WORD = re.compile(r"[a-z]+", re.I)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
@@ -100,6 +103,18 @@ def close(at: Node, name: str) -> Node:
     return out
 
 
+def names_boilerplate(value: str) -> bool:
+    """Whether a class or id names a part that is not the article's: has-sidebar only tells of a layout, entry-header is the article's own."""
+    for name in value.split():
+        words = [w.lower() for w in WORD.findall(name)]
+        if not words or len(words) > 1 and words[0] in LAYOUT_WORDS:
+            continue
+        bad = BAD_WORDS.intersection(words)
+        if bad and not (bad == {"header"} and words[0] in OWN_HEADER):
+            return True
+    return False
+
+
 def boilerplate(node: Node) -> bool:
     if node.tag in GONE:
         return True
@@ -111,8 +126,9 @@ def boilerplate(node: Node) -> bool:
     if not node.attrs or node.tag in ("html", "body", "article", "main"):
         return False
     for key, a, b, c in ATTR.findall(node.attrs):
-        key, value = key.lower(), (a or b or c).lower()
-        if key in ("class", "id") and not BAD_WORDS.isdisjoint(WORD.findall(value)):
+        key, named = key.lower(), a or b or c
+        value = named.lower()
+        if key in ("class", "id") and names_boilerplate(named):
             return node.tag not in ("h1", "h2", "h3") or "title" not in value
         if key == "role" and value in BAD_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True

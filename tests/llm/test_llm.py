@@ -128,6 +128,22 @@ def test_html_main_text(spark):
     assert [(r.text, r.n_chars) for r in sorted(got.collect())] == [(w, len(w)) for w in PAGES.values()]
 
 
+LONG = "A paragraph of the article, with commas, and more words, long enough to be kept as its text. " * 2
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f"<div id=page class='has-sidebar'><p>{LONG}</p></div>", LONG.strip()),
+        (f"<div class='siteHeader'>menu, one</div><div><p>{LONG}</p></div><div class=pageFooter><p>foot, foot, foot</p></div>", LONG.strip()),
+        (f"<article><div class='entry-header'><h1>Head</h1></div><p>{LONG}</p></article>", "Head " + LONG.strip()),
+        (f"<div class=story><p>{LONG}</p></div><ol class=commentList><li><p>{LONG}</p></li></ol>", LONG.strip()),
+    ],
+)
+def test_html_names_of_parts(body, want):
+    assert html.main_text(f"<html><body>{body}</body></html>") == want
+
+
 def test_html_deep_and_broken_pages():
     assert html.main_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert html.main_text("<a href='" * 3000 + "<p>x") is not None
