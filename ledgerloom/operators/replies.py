@@ -9,6 +9,11 @@ from ledgerloom.functions.codes import DOCUMENT_TYPES, PLACEHOLDERS
 from ledgerloom.functions.text import first_object
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once: it is the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _is(value: Column, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(value).like(kind), F.lit(False))
 
@@ -40,13 +45,22 @@ def pii_items(reply: Column) -> Column:
     A category that is not listed becomes other_pii. error is null, `not JSON` (no brace), `invalid JSON` or `shape` (no array, or an
     entry without a string as text); items are null beside an error. A null reply is not JSON.
     """
-    value = _first_value(reply)
-    listed = F.when(_is(value, "OBJECT<%"), F.try_variant_get(value, "$.pii_items", "array<variant>"))
-    category = lambda e: F.when(_string(e, "$.category").isin(*PLACEHOLDERS), _string(e, "$.category")).otherwise("other_pii")
-    items = F.transform(listed, lambda e: F.struct(_string(e, "$.text").alias("text"), category(e).alias("category")))
-    shaped = F.coalesce(~F.exists(items, lambda i: i["text"].isNull()), F.lit(False))
-    error = F.when(reply.isNull() | ~F.contains(reply, F.lit("{")), "not JSON").when(value.isNull(), "invalid JSON").when(~shaped, "shape")
-    return F.struct(F.when(error.isNull(), items).alias("items"), error.alias("error"))
+    brace = F.coalesce(F.contains(reply, F.lit("{")), F.lit(False))
+
+    def item(entry):
+        listed = lambda c: F.when(c.isin(*PLACEHOLDERS), c).otherwise("other_pii")
+        return F.struct(_string(entry, "$.text").alias("text"), _bound(_string(entry, "$.category"), listed).alias("category"))
+
+    def checked(items, value):
+        shaped = F.coalesce(~F.exists(items, lambda i: i["text"].isNull()), F.lit(False))
+        error = F.when(~brace, "not JSON").when(value.isNull(), "invalid JSON").when(~shaped, "shape")
+        return F.struct(F.when(error.isNull(), items).alias("items"), error.alias("error"))
+
+    def read(value):
+        entries = F.when(_is(value, "OBJECT<%"), F.try_variant_get(value, "$.pii_items", "array<variant>"))
+        return _bound(F.transform(entries, item), lambda items: checked(items, value))
+
+    return _bound(F.when(brace, _first_value(reply)), read)
 
 
 def classification(reply: Column) -> Column:
@@ -57,17 +71,22 @@ def classification(reply: Column) -> Column:
     """
     body = first_object(reply)
     whole = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
-    value = F.when(whole, F.try_parse_json(body))
-    kind = _string(value, "$.predicted_document_type")
-    error = F.when(body.isNull(), "not JSON").when(value.isNull(), "invalid JSON").when(~F.coalesce(kind.isin(DOCUMENT_TYPES), F.lit(False)), "unknown type")
-    good = lambda c: F.when(error.isNull(), c)
-    return F.struct(
-        good(kind).alias("predicted_document_type"),
-        good(F.coalesce(_string(value, "$.document_type_label"), F.lit(""))).alias("document_type_label"),
-        good(F.coalesce(F.try_variant_get(value, "$.confidence", "double"), F.lit(0.5))).alias("confidence"),
-        good(F.coalesce(_string(value, "$.quote"), F.lit(""))).alias("quote"),
-        error.alias("error"),
-    )
+
+    def read(value):
+        return _bound(_string(value, "$.predicted_document_type"), lambda kind: typed(value, kind))
+
+    def typed(value, kind):
+        error = F.when(body.isNull(), "not JSON").when(value.isNull(), "invalid JSON").when(~F.coalesce(kind.isin(DOCUMENT_TYPES), F.lit(False)), "unknown type")
+        good = lambda c: F.when(error.isNull(), c)
+        return F.struct(
+            good(kind).alias("predicted_document_type"),
+            good(F.coalesce(_string(value, "$.document_type_label"), F.lit(""))).alias("document_type_label"),
+            good(F.coalesce(F.try_variant_get(value, "$.confidence", "double"), F.lit(0.5))).alias("confidence"),
+            good(F.coalesce(_string(value, "$.quote"), F.lit(""))).alias("quote"),
+            error.alias("error"),
+        )
+
+    return _bound(F.when(whole, F.try_parse_json(body)), read)
 
 
 def reader_independence(provider_a: Column, model_a: Column, provider_b: Column, model_b: Column) -> Column:

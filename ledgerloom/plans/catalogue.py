@@ -645,7 +645,7 @@ def snapshot_steps(spark, sf):
     return reviews.next_snapshot(rows, "case_id", "path")
 
 
-VERDICTS = "supported not_supported partially_supported insufficient_evidence".split()
+REASON_VERDICTS = "supported not_supported partially_supported insufficient_evidence".split()
 
 
 @query("""
@@ -657,7 +657,7 @@ UNION ALL SELECT 'stray', count(*), 0, CAST(round(sum(quantity), 2) AS DOUBLE) F
 def rebuttal_join(spark, sf):
     """Reasons, verdicts on them and answers: only reasons that do not hold are answered, other answers are strays."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    verdict = F.element_at(F.array(*map(F.lit, VERDICTS)), (F.col("o_custkey") % 4 + 1).cast("int"))
+    verdict = F.element_at(F.array(*map(F.lit, REASON_VERDICTS)), (F.col("o_custkey") % 4 + 1).cast("int"))
     judged = orders.filter(F.col("o_custkey") % 9 != 0).select("o_orderkey", verdict.alias("verdict"))
     points = table(spark, sf, "lineitem").filter(F.col("l_orderkey") % 5 != 0).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("quantity"))
     got, stray = reviews.rebuttable(orders, judged, points, ["o_orderkey"])
