@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, mixing, packing, secrets, simhash
+from ledgerloom.llm import langid, mixing, packing, secrets, similar
 from ledgerloom.llm.common import discard, fresh, materialise
 
 
@@ -19,13 +19,11 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id stays. Rows of one doc_id are one document; rows without one all stay."""
+    """Of each group of texts linked by a similarity of 0.8 or more (Jaccard of their five-word shingles) the document with the smallest doc_id stays. Rows of one doc_id are one document; rows without one all stay."""
     named = docs.filter(F.col("doc_id").isNotNull())
-    found = simhash.groups(named)
-    first = found.filter("doc_id = component_id").groupBy("doc_id").count()
+    first = materialise(similar.firsts(named.select("doc_id", "text"), "text", ["doc_id"]).groupBy("first.doc_id").count(), "firsts")
     kept = named.join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if first.filter("count > 1").head(1):
-        kept = kept.dropDuplicates(["doc_id"])
+    kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.filter(F.col("doc_id").isNull()))
 
 
@@ -48,7 +46,7 @@ def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.vocabulary())
 
 
-STAGES = [("language ID", language), ("SimHash near-dedup", near_dedup), ("secret scans", redact_secrets), ("mixing sources to target weights", mix_sources), ("best-fit packing", pack_sequences)]
+STAGES = [("language ID", language), ("near-dedup", near_dedup), ("secret scans", redact_secrets), ("mixing sources to target weights", mix_sources), ("best-fit packing", pack_sequences)]
 ORACLE_SQL = None
 
 

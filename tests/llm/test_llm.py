@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import html, langid, media, mixing, packing, secrets, simhash, substrings, topk, urls
+from ledgerloom.llm import html, langid, media, mixing, packing, secrets, simhash, similar, substrings, topk, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i}" for i in range(20_000))
@@ -384,6 +384,36 @@ def test_large_buckets_are_cut_and_stay_whole(spark, monkeypatch):
     assert [root.get(int(np.uint64(x).astype(np.int64)), int(np.uint64(x).astype(np.int64))) for x in prints] == want
 
 
+def brute_firsts(texts, width=5):
+    """Smallest id of each group that pairs with a Jaccard similarity of 0.8 or more connect, by all pairs."""
+    sets = {}
+    for d, t in sorted(texts.items()):
+        w = (t or "").lower().split()
+        sets[d] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else {()}
+    root = {d: d for d in sets}
+    ids, size = sorted(sets), {d: len(s) for d, s in sets.items()}
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if 5 * min(size[a], size[b]) >= 4 * max(size[a], size[b]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {d: x if r == y else r for d, r in root.items()} if x != y else root
+    return sorted(set(root.values()))
+
+
+def test_near_dedup_equals_brute_force(spark):
+    texts = texts_of(spark, "/root/testdata/sf0.01")
+    rng = np.random.default_rng(11)
+    base = [f"w{int(x)}" for x in rng.integers(0, 5000, 200)]
+    for k in range(60):  # chains and stars around 0.8
+        words = list(base)
+        for at in rng.choice(200, int(rng.integers(1, 9)), replace=False):
+            words[at] = f"x{k}"
+        texts[10_000_000 + k] = " ".join(words)
+    df = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in texts.items()], DOCS)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert got == brute_firsts(texts) and len(got) < len(set(texts.values()))
+
+
 # --- top-k ---
 
 
