@@ -19,12 +19,19 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a similarity of 0.8 or more (Jaccard of their five-word shingles) the document with the smallest doc_id stays. Rows of one doc_id are one document; rows without one all stay."""
-    named = docs.filter(F.col("doc_id").isNotNull())
-    first = materialise(similar.firsts(named.select("doc_id", "text"), "text", ["doc_id"]).groupBy("first.doc_id").count(), "firsts")
-    kept = named.join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.filter(F.col("doc_id").isNull()))
+    """Of each group of texts linked by a similarity of 0.8 or more (Jaccard of their five-word shingles) the row with the smallest doc_id stays, rows without one last.
+
+    Ties go by a hash of the text, then of the row; equal rows are one. Rows without words are copies of each other only if they have an id.
+    """
+    text, name, digest, whole = F.col("text"), *(fresh(docs, c) for c in ("no_id", "digest_of_text", "digest_of_row"))
+    rows = docs.withColumns({name: F.col("doc_id").isNull(), digest: F.xxhash64(text), whole: F.xxhash64(*docs.columns)})
+    bare = F.col(name) & ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
+    order = ["doc_id", digest, whole]
+    first = similar.firsts(rows.filter(~bare).select(*order, "text"), "text", order)
+    first = materialise(first.select(*(F.col(f"first.{c}").alias(c) for c in order)), "firsts")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in order]
+    kept = rows.filter(~bare).alias("r").join(first.alias("f"), same, "left_semi").dropDuplicates([name, *order])
+    return kept.select(docs.columns).union(docs.filter(F.col("doc_id").isNull() & ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))))
 
 
 def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

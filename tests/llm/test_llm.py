@@ -414,6 +414,14 @@ def test_near_dedup_equals_brute_force(spark):
     assert got == brute_firsts(texts) and len(got) < len(set(texts.values()))
 
 
+def test_near_dedup_keeps_distinct_texts_of_one_id_and_dedups_without_id(spark):
+    one, two = "the first text has words of its own here", "quite another text that shares nothing with it"
+    data = [(1, one, "en", "a", 1), (1, two, "en", "b", 1), (1, two, "en", "a", 2), (None, one, "en", "a", 1), (None, PASSAGE, "en", "a", 1), (None, PASSAGE, "de", "a", 1), (3, "", "en", "a", 0), (None, " ", "en", "a", 1)]
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    got = [sorted(((r.doc_id, r.text, r.lang, r.source) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(d, DOCS).repartition(3), "").collect()), key=key) for d in (data, data[::-1])]
+    assert got[0] == got[1] and [r[:2] for r in got[0]] == sorted([(1, one), (1, two), (3, ""), (None, " "), (None, PASSAGE)], key=key)
+
+
 # --- top-k ---
 
 
