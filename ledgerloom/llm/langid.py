@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model: Model | None, reject: bool = False) -> Data
     lang_pred is the language of the shortest code (ties: the first by name), `und` if the text is null or has no letter or
     nothing was learned; score is its posterior under equal priors (und: 0). Only the column text is read. Rejected, where asked
     for, are documents that are `und` and those whose best code is longer than 8 bits a byte by SLACK bits: a short text with a strange
-    word stays.
+    word stays. If nothing was learned (model is None), only null texts and texts without a letter are rejected.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -169,6 +169,8 @@ def identify(docs: DataFrame, model: Model | None, reject: bool = False) -> Data
                 odds = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1)
                 for i, k, p, x in zip(can, best.tolist(), odds.tolist(), low.tolist()):
                     lang[i], conf[i], keep[i] = model.langs[k], p, x < 8 * len(texts[i]) + SLACK
+            if not model:
+                keep[:] = [LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts]
             if reject:
                 yield b.filter(pa.array(keep))
             else:

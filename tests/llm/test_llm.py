@@ -219,6 +219,12 @@ def test_langid_on_held_out_rows(spark):
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.98 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_langid_without_a_model_rejects_only_what_has_no_letters(spark):
+    data = [(1, "plain prose", None, "a", 1), (2, None, None, "a", None), (3, "12 34 !!", None, "a", 1), (4, "é", None, "a", 1)]
+    got = corpus_pipeline.language(spark, spark.createDataFrame(data, DOCS), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 4]
+
+
 def test_langid_code_lengths_equal_a_plain_model():
     samples = {"a": [b"abcabcabd", b"abab"], "b": [b"xyzxyz", b"bca xyz"]}
     model = langid.train(samples)
