@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as tx
-from ledgerloom.functions.codes import FREQUENCY, PLACEHOLDERS, SCHEMAS
+from ledgerloom.functions.codes import FREQUENCY, PII, PLACEHOLDERS, SCHEMAS
 from ledgerloom.operators import cases, pages, pii, replies, reports, reviews, rules
 
 QUERIES: dict = {}
@@ -106,8 +106,8 @@ def redact_emails(spark, sf):
 def redacted(spark, sf) -> DataFrame:
     """Documents with the spans that a pattern scan lists, redacted by the span fold."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    kinds = {"email": "email", "phone_number_separated": "phone_number", "phone_number_contiguous": "phone_number", "long_digit_run": "account_number"}
-    each = [pii.named_spans(F.col("text"), k, "category", c, "text") for k, c in kinds.items()]
+    own = {"phone_number_separated": "phone_number", "phone_number_contiguous": "phone_number", "account_number_dashed": "account_number", "long_digit_run": "account_number"}
+    each = [pii.named_spans(F.col("text"), k, "category", own.get(k, k), "text") for k in PII]
     return pii.redact_spans(docs.withColumn("items", F.concat(*each)), "text", "items")
 
 
