@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-TEXT_ROWS, SMALL_ROWS = 1000, 100_000
+BATCH, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXT_ROWS, SMALL_ROWS, BATCH_BYTES = 1000, 20_000, 4 << 20
 _own: dict[str, str] = {}
 _tables: dict[str, list[str]] = {}  # of each application, the paths of what materialise has written
 
@@ -58,21 +58,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     _tables[spark.sparkContext.applicationId].remove(path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in Arrow batches of at most TEXT_ROWS rows, so that a batch of long ones fits a worker."""
-    if int(spark.conf.get(BATCH)) > TEXT_ROWS:
-        spark.conf.set(BATCH, str(TEXT_ROWS))
-
-
 @contextmanager
-def row_batches(spark: SparkSession) -> Iterator[None]:
-    """For the actions inside: batches of many rows of a few numbers each."""
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(SMALL_ROWS))
+def batches(spark: SparkSession, rows: int, size: int = BATCH_BYTES) -> Iterator[None]:
+    """For the actions inside: Arrow batches of at most so many rows and bytes. The session's own settings come back after."""
+    new = {BATCH: str(rows), BYTES: f"{size}b"}
+    before = {k: spark.conf.get(k) for k in new}
     try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(BATCH, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def fresh(df: DataFrame, name: str) -> str:

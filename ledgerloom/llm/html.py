@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_bytes, mapped, text_batches
+from ledgerloom.llm.common import by_bytes, mapped
 
 # Element names by their part in the HTML standard, and words that name boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -235,7 +235,6 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     A null, empty or text-free page gives an empty text. Text without any markup is all kept. Other columns are ignored.
     """
-    text_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

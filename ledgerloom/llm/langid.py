@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, by_bytes, fresh, mapped, text_batches
+from ledgerloom.llm.common import as_bytes, by_bytes, fresh, mapped
 
 ORDER, CONTEXTS, TRAIN_DOCS, TRAIN_BYTES, PARTS, SLACK, UNKNOWN = 3, 12_000, 300, 1_000_000, 64, 256, "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -153,7 +153,6 @@ def identify(docs: DataFrame, model: Model | None, reject: bool = False) -> Data
     word stays. If nothing was learned (model is None), only null texts and texts without a letter are rejected.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     names = [] if reject else [fresh(docs, "lang_pred"), fresh(docs, "score")]
     sent = spark.sparkContext.broadcast(model)
 

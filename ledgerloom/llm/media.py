@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, by_bytes, mapped, text_batches
+from ledgerloom.llm.common import as_bytes, by_bytes, mapped
 
 # Element ids of the EBML and Matroska specifications (RFC 8794, RFC 9559).
 EBML, VERSION, READ_VERSION, MAX_ID, MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -275,7 +275,6 @@ def packets(files: DataFrame, key: str, media: str) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
             yield pa.record_batch([b.column("k").take(pa.array(who, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], ["k", "track", "timestamp", "start", "end", "keyframe", "lacing"])
 
-    text_batches(files.sparkSession)
     got = mapped(files.select(F.col(key).alias("k"), F.col(media).alias("m")), run, f"k {kind}, track long, timestamp long, start long, end long, keyframe boolean, lacing string")
     return got.withColumnRenamed("k", key)
 
@@ -288,7 +287,6 @@ def store(docs: DataFrame) -> DataFrame:
             texts = as_bytes(b.column("text"))
             yield pa.record_batch([b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([write(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    text_batches(docs.sparkSession)
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 

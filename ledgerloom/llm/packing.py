@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, by_bytes, mapped, materialise, mix, powers, text_batches
+from ledgerloom.llm.common import TEXT_ROWS, as_bytes, batches, by_bytes, mapped, materialise, mix, powers
 
 CAPACITY, END, PARTS, DEAL, LONGEST, BASE = 2048, 0, 2_000_000, 4096, 64, 0x9E3779B97F4A7C15
 
@@ -137,16 +137,15 @@ def words_of_worker(vocabulary: str) -> Words:
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and then `end`, cut every `capacity` ids. Null text: empty."""
     spark = docs.sparkSession
-    text_batches(spark)
     sent = spark.sparkContext.broadcast(vocabulary)
     tail = np.array([end], "<u4").tobytes()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = None
-        for b in (s for b in batches if b.num_rows for s in by_bytes(b, "text", 2 << 20)):
+        for b in (s for b in parts if b.num_rows for s in by_bytes(b, "text", 2 << 20)):
             words = words or words_of_worker(sent.value)
             rows: list[tuple[int, int, int, int]] = []
             who = []
@@ -222,7 +221,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int =
     are ignored. Offsets in a sequence are gapless from 0.
     """
     spark = docs.sparkSession
-    made = materialise(pieces(docs, vocabulary, capacity, end), "pieces")
+    with batches(spark, TEXT_ROWS):
+        made = materialise(pieces(docs, vocabulary, capacity, end), "pieces")
     lengths = {r.length: r["count"] for r in made.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = plan_bins(lengths, capacity, documents, attention, rule)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]

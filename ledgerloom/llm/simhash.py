@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, by_bytes, components, mapped, materialise, row_batches, text_batches
+from ledgerloom.llm.common import SMALL_ROWS, TEXT_ROWS, as_bytes, batches, by_bytes, components, mapped, materialise
 
 BITS, SEED, SHINGLE, BLOCK = 3, 42, 3, 4096
 GENERATOR = 0xC75  # of the cyclic (23,12) Golay code
@@ -129,9 +129,9 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
         split = keyed.drop("sub").join(large, "key").withColumn("own", own).select("key", "fp", F.explode(pairs).alias("sub"))
         keyed = keyed.join(large, "key", "left_anti").select("key", "fp", "sub").unionByName(split)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.empty((0, 3), np.int64)
-        for b in batches:
+        for b in parts:
             rows = np.concatenate([rest, np.column_stack([b.column(c).to_numpy() for c in ("key", "sub", "fp")])])
             new = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1
             last = int(new[-1]) if len(new) else 0
@@ -166,9 +166,9 @@ def groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     like any other); a null doc_id is never the smallest unless all are null; repeated rows stay; other columns are ignored.
     """
     spark = docs.sparkSession
-    text_batches(spark)
-    made = materialise(fingerprints(docs), "fingerprints")
-    with row_batches(spark):
+    with batches(spark, TEXT_ROWS):
+        made = materialise(fingerprints(docs), "fingerprints")
+    with batches(spark, SMALL_ROWS):
         prints = materialise(made.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "prints")
         linked = materialise(links(prints, bits), "links")
     tree = components(linked)

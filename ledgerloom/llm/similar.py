@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, by_bytes, components, mapped, materialise, row_batches, text_batches
+from ledgerloom.llm.common import SMALL_ROWS, TEXT_ROWS, as_bytes, batches, by_bytes, components, mapped, materialise
 
 WIDTH, NUMERATOR, DENOMINATOR, ROWS, BANDS, SEED = 5, 4, 5, 6, 80, 42
 
@@ -70,9 +70,9 @@ def signed(docs: DataFrame, text: str, row: list[str]) -> DataFrame:
 def met(prints: DataFrame) -> DataFrame:
     """(key, low, low_n, sid, n): each member of each bucket of two or more, with the bucket's smallest."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.empty((0, 3), np.int64)
-        for b in batches:
+        for b in parts:
             rows = np.concatenate([rest, np.column_stack([b.column(c).to_numpy().astype(np.int64) for c in ("key", "sid", "n")])])
             new = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
             last = int(new[-1]) if len(new) else 0
@@ -129,12 +129,12 @@ def firsts(docs: DataFrame, text: str, order: list[str]) -> DataFrame:
     Groups are what links of a similarity of 0.8 or more connect; texts without words are one group.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     # `digest` finds the text of a set again. A null sorts before any value, so whether it is null goes ahead of each column.
     rows = signed(docs.select(*order, text, F.xxhash64(text).alias("digest")), text, [*order, "digest"])
     place = F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))))
-    prints = materialise(rows.groupBy("sid").agg(F.min(place).alias("first"), F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("keys").alias("keys")), "prints")
-    with row_batches(spark):
+    with batches(spark, TEXT_ROWS):
+        prints = materialise(rows.groupBy("sid").agg(F.min(place).alias("first"), F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("keys").alias("keys")), "prints")
+    with batches(spark, SMALL_ROWS):
         buckets = materialise(met(prints), "buckets")
     star = materialise(buckets.filter((F.col("low") != F.col("sid")) & fits(F.col("low_n"), F.col("n"))).select(F.col("low").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
     named = star.select(F.col("a").alias("sid")).union(star.select("b")).distinct().join(prints.select("sid", "digest"), "sid")

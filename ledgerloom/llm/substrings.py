@@ -4,30 +4,33 @@ Windows are hashed by rolling polynomials over word hashes. Each window names it
 same window names the same gram at the same place, so a gram's count is never below that of any window naming it. Only these
 places, about a tenth of all, go through the count-min sketch:
 
-1. Each task counts its named grams in a sketch of two rows and sends the cells it has touched; cells are merged with counts
-   kept to 0, 1 and "2 or more". The cells at 2 or more are a bitmap of fixed size (ROWS x 2**CELLS bits), which is broadcast.
-2. A second pass keeps the places whose estimate is 2 or more, with the hashes of the (at most 18) windows that name them, and
-   groups them exactly by 64 bits of gram and 64 of window. Each batch first combines its own: a window met twice there is
-   known to repeat and sends one row, so a passage that is everywhere costs a row a batch, not a row a copy.
+1. Each task sends the cells that its grams touch, with the places, to the blocks of the sketch. A gram seen twice in a task sends
+   one row of these, marked, and its places are known to need the second pass. The sketch is dealt over the cluster: the number of
+   its blocks follows the bytes of the input, a block merges the cells of all tasks and lets the places pass whose estimate is 2 or
+   more. No task and not the driver ever holds more than a block.
+2. A second pass reads the documents of these places again and groups the hashes of the (at most 18) windows that name each of them
+   exactly, by 64 bits of gram and 64 of window, made from the two independent halves of 128-bit word hashes. A task first combines
+   its own: a window met twice there is known to repeat and sends one row, so a passage that is everywhere costs a row a task, not
+   a row a copy.
 3. Marks go back to their document by key, and the words that no marked window covers are joined.
 
-More input than the sketch can tell apart makes the second pass larger, never wrong. Equal 128-bit hashes are taken as equal words.
+A sketch too small makes the second pass larger, never wrong. Equal 128-bit hashes are taken as equal words.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, by_bytes, mapped, materialise, mix, powers, row_batches, text_batches
+from ledgerloom.llm.common import SMALL_ROWS, TEXT_ROWS, as_bytes, batches, by_bytes, mapped, materialise, mix, powers
 
-WINDOW, ROWS, CELLS, BLOCK_CELLS, FLUSH = 35, 2, 27, 20, 1 << 21
+WINDOW, ROWS, CELLS, BLOCK_BYTES, FLUSH = 35, 2, 20, 16 << 20, 1 << 19
 GRAM_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd: they have inverses modulo 2**64
 
 
@@ -50,46 +53,57 @@ def lowest(x: np.ndarray, width: int) -> np.ndarray:
     return join(at[: len(x) - width + 1], at[width - span :][: len(x) - width + 1]) if span < width else at
 
 
-def places(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each named gram: its hash, its text's number, its first window's place there, how many windows name it; then all windows' hashes, and the first of each gram there."""
-    import xxhash
+class Digests(dict):
+    """Word to its 128-bit hash, worked out once."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        import xxhash
+
+        self[word] = out = xxhash.xxh3_128_digest(word)
+        return out
+
+
+def places(texts: list[bytes], window: int = WINDOW, hashes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each named gram: its hash, its text's number, its first window's place there, how many windows name it; then, if asked for, all windows' hashes."""
     gram = (window + 1) // 2
     split = [t.split() for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
     total = int(sizes.sum())
     none = np.empty(0, np.int64)
     if total < window or sizes.max() < window:
-        return none.view(np.uint64), none, none, none, none.view(np.uint64), none
-    words = np.fromiter((h for w in split for h in map(xxhash.xxh64_intdigest, w)), np.uint64, total)
+        return none.view(np.uint64), none, none, none, none.view(np.uint64)
+    known = Digests()
+    words = np.frombuffer(b"".join([h for w in split for h in map(known.__getitem__, w)]), "<u8").reshape(-1, 2)
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(texts)), sizes)
     starts = np.flatnonzero(ends[doc] - np.arange(total) >= window)
-    grams = rolling(words, gram, GRAM_BASE)
+    grams = rolling(np.ascontiguousarray(words[:, 0]), gram, GRAM_BASE)
     named = lowest(grams, window - gram + 1)[starts]
     first = np.flatnonzero(np.concatenate([[True], (named[1:] != named[:-1]) | (doc[starts[1:]] != doc[starts[:-1]])]))
     at = starts[first]
     count = np.diff(np.concatenate([first, [len(starts)]]))
-    return grams[named[first]], doc[at], at - (ends - sizes)[doc[at]], count, rolling(words, window, WINDOW_BASE)[starts], first
+    every = rolling(np.ascontiguousarray(words[:, 1]), window, WINDOW_BASE)[starts] if hashes else none.view(np.uint64)
+    return grams[named[first]], doc[at], at - (ends - sizes)[doc[at]], count, every
 
 
-def cells_of(grams: np.ndarray, cells: int) -> list[np.ndarray]:
-    """The cell of each gram in each row of the sketch."""
-    return [(g >> np.uint64(64 - cells)).astype(np.int64) for g in (grams, mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
+def cells_of(low: np.ndarray, cells: int) -> list[np.ndarray]:
+    """The cell in each row of a block's sketch, by the lower half of a gram's hash."""
+    other = mix(low.astype(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    return [(x & np.uint64((1 << cells) - 1)).astype(np.int64) for x in (low.astype(np.uint64), other)]
 
 
-def combine(gram: np.ndarray, hashes: np.ndarray, multi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of windows: which repeat, which stand for all equal ones (their first), and whether those are known to repeat."""
+def combine(gram: np.ndarray, hashes: np.ndarray, multi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows: which repeat (or stand for some that are known to), and which stand for all equal ones (their first)."""
+    if not len(gram):
+        return np.empty(0, bool), np.empty(0, bool)
     order = np.lexsort((hashes, gram))
     g, h = gram[order], hashes[order]
-    new = np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])]) if len(g) else np.empty(0, bool)
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])
     run = np.cumsum(new) - 1
-    size = np.bincount(run) if len(run) else np.empty(0, np.int64)
-    twice = (size > 1) | (np.bincount(run, weights=multi[order]) > 0) if len(run) else np.empty(0, bool)
+    twice = (np.bincount(run) > 1) | (np.bincount(run, weights=multi[order]) > 0)
     repeats, stands = np.empty(len(g), bool), np.empty(len(g), bool)
-    repeats[order] = twice[run] if len(run) else False
-    stands[order] = new
-    return repeats, stands, repeats
+    repeats[order], stands[order] = twice[run], new
+    return repeats, stands
 
 
 def bits_of(flags: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -98,110 +112,155 @@ def bits_of(flags: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarr
     return np.add.reduceat(flags.astype(np.int64) << place, first) if len(first) else np.empty(0, np.int64)
 
 
-def sketch(docs: DataFrame, window: int, cells: int) -> list[np.ndarray]:
-    """A bitmap of the cells at 2 or more, for each row of the sketch."""
-    block = min(cells, BLOCK_CELLS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for b in batches:
-            for part in by_bytes(b, "text") if b.num_rows else ():
-                held.append(places(as_bytes(part.column("text")), window)[0])
-                if sum(map(len, held)) > FLUSH:
-                    yield from touched(np.concatenate(held))
+def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Little-endian values as binary rows that end at `ends`."""
+    size = values.dtype.itemsize
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * size
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of binary rows, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(data) else np.empty(0, np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(values.tobytes(), kind), np.diff(offsets) // size
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(k1, k2, text): two hashes of id and text name a row; rows with both alike have one name, and the same marks."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(1), text, "doc_id").alias("k2"), "text")
+
+
+ENTRY = np.dtype([("k1", "<i8"), ("place", "<i4"), ("cell", "<u4")])  # of the cell's lowest bit, whether its gram is twice in the task
+MARK = np.dtype([("place", "<i4"), ("mask", "<i8")])
+
+
+def candidates(rows: DataFrame, window: int, cells: int, blocks: int) -> DataFrame:
+    """(k1, place) of the named grams whose count the sketch estimates at 2 or more; places are their first windows'."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: list[np.ndarray] = []
+        entries: list[np.ndarray] = []
+        for b in (s for b in parts if b.num_rows for s in by_bytes(b, "text")):
+            gram, doc, place, _, _ = places(as_bytes(b.column("text")), window, False)
+            gram = mix(gram)  # named grams are smallest ones: their hashes lie low
+            mine = np.empty(len(gram), ENTRY)
+            mine["k1"], mine["place"], mine["cell"] = b.column("k1").to_numpy()[doc], place, gram & np.uint64(0xFFFFFFFE)
+            grams.append(gram)
+            entries.append(mine)
+            if sum(map(len, grams)) > FLUSH:
+                yield touched(np.concatenate(grams), np.concatenate(entries))
+                grams, entries = [], []
+        if sum(map(len, grams)):
+            yield touched(np.concatenate(grams), np.concatenate(entries))
+
+    def touched(gram: np.ndarray, mine: np.ndarray) -> pa.RecordBatch:
+        """Rows for blocks (0 and up): the first place of each gram. Rows for none (below 0): the places of grams that are here twice."""
+        order = np.argsort(gram, kind="stable")
+        gram, mine = gram[order], mine[order]
+        new = np.concatenate([[True], gram[1:] != gram[:-1]])
+        size = np.bincount(np.cumsum(new) - 1)
+        mine["cell"] |= np.repeat(size > 1, size).astype(np.uint32)
+        spread = (np.uint64(1) + (mine["k1"].view("<u8") >> np.uint64(44))).astype(np.int64)
+        block = np.where(new, ((gram >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64), -spread)
+        order = np.argsort(block, kind="stable")
+        block, mine = block[order], mine[order]
+        ends = np.flatnonzero(np.concatenate([block[1:] != block[:-1], [True]])) + 1
+        return pa.record_batch([pa.array(block[ends - 1]), packed(mine.view(np.uint8), ends * ENTRY.itemsize)], ["block", "entries"])
+
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = -1, []
+        for b in parts:
+            block, entries = b.column("block").to_numpy(), b.column("entries")
+            for k, row in zip(block.tolist(), range(len(block))):
+                if k != at and held:
+                    yield passed(at, np.concatenate(held))
                     held = []
+                at = k
+                held.append(np.frombuffer(entries[row].as_py(), ENTRY))
         if held:
-            yield from touched(np.concatenate(held))
-
-    def touched(grams: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for row, cell in enumerate(cells_of(grams, cells)):
-            cell, n = np.unique(cell, return_counts=True)
-            part = cell >> block
-            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-            value = ((cell & ((1 << block) - 1)) | (n > 1).astype(np.int64) << 31).astype("<u4")
-            sent = [x.tobytes() for x in np.split(value, begin[1:])] if len(part) else []
-            ids = [(row << 32) | int(part[i]) for i in begin]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sent, pa.binary())], ["block", "cells"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seen = None, None
-        for b in batches:
-            for key, sent in zip(b.column("block").to_pylist(), b.column("cells").to_pylist()):
-                if key != at:
-                    if at is not None:
-                        yield full(at, seen)
-                    at, seen = key, np.zeros(1 << block, np.uint8)
-                value = np.frombuffer(sent, "<u4")
-                cell = value & np.uint32(0x7FFFFFFF)  # once each
-                seen[cell] = np.minimum(2, seen[cell] + 1 + (value >> np.uint32(31)).astype(np.uint8))
-        if at is not None:
-            yield full(at, seen)
-
-    def full(at: int, seen: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([at]), pa.array([zlib.compress(np.packbits(seen > 1).tobytes(), 1)])], ["block", "bitmap"])
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select("text").mapInArrow(count, "block long, cells binary")
-    merged = sent.repartition(n, "block").sortWithinPartitions("block").mapInArrow(merge, "block long, bitmap binary")
-    maps = [np.zeros(max(1, (1 << cells) // 8), np.uint8) for _ in range(ROWS)]
-    size = max(1, (1 << block) // 8)
-    for row in merged.collect():  # of bounded size: ROWS x 2**cells bits before compression
-        at = (row.block & 0xFFFFFFFF) * size
-        maps[row.block >> 32][at : at + size] = np.frombuffer(zlib.decompress(row.bitmap), np.uint8)
-    return maps
-
-
-SENT = "gram long, doc_id long, text_hash long, place long, mask long, hashes binary, multi long"
-
-
-def marks(docs: DataFrame, window: int = WINDOW, cells: int = CELLS) -> DataFrame:
-    """(doc_id, text_hash, place, mask): bit i of mask says that the window at place + i also starts elsewhere."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    maps = spark.sparkContext.broadcast(sketch(docs, window, cells))
+            yield passed(at, np.concatenate(held))
 
-    def pack(gram, ids, hashes_of, place, first, count, hashes, repeats, stands) -> Iterator[pa.RecordBatch]:
-        """Rows of what stands for itself elsewhere (with hashes), and of what is known (with a mask)."""
-        known, sends = bits_of(repeats, first, count), bits_of(stands, first, count)
-        go = np.flatnonzero((sends != 0) | (known != 0))
-        sent = np.split(hashes[stands].view("<u8"), np.cumsum(np.add.reduceat(stands, first, dtype=np.int64))[:-1]) if len(first) else []
-        yield pa.record_batch(
-            [pa.array(gram[go].view(np.int64)), ids.take(pa.array(go)), pa.array(hashes_of[go]), pa.array(place[go]), pa.array(known[go]), pa.array([sent[i].tobytes() for i in go], pa.binary()), pa.array(sends[go])],
-            ["gram", "doc_id", "text_hash", "place", "mask", "hashes", "multi"],
-        )
-
-    def second(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    def passed(block: int, mine: np.ndarray) -> pa.RecordBatch:
+        keep = np.ones(len(mine), bool)
+        twice = (mine["cell"] & 1).astype(bool)
+        for cell in cells_of(mine["cell"] >> 1, cells) if block >= 0 else ():
+            seen = np.zeros(1 << cells, np.uint8)  # 0, 1, or 2 for more
+            n = np.sort(np.concatenate([cell, cell[twice]]))
+            seen[n] = 1
+            seen[n[1:][n[1:] == n[:-1]]] = 2
+            keep &= seen[cell] == 2
+        return pa.record_batch([pa.array(np.ascontiguousarray(mine[c][keep])) for c in ("k1", "place")], ["k1", "place"])
 
-        for b in by_bytes(batch, "text"):
-            texts = as_bytes(b.column("text"))
-            gram, doc, place, count, hashes, first = places(texts, window)
-            keep = np.ones(len(gram), bool)
-            for bitmap, cell in zip(maps.value, cells_of(gram, cells)):
-                keep &= (bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
-            inside = np.repeat(keep, count)
-            gram, doc, place, count, hashes = gram[keep], doc[keep], place[keep], count[keep], hashes[inside]
-            if not len(gram):
-                continue
-            first = np.cumsum(count) - count
-            repeats, stands, _ = combine(np.repeat(gram, count), hashes, np.zeros(len(hashes), bool))
-            own = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
-            yield from pack(gram, b.column("doc_id").take(pa.array(doc)), own[doc], place, first, count, hashes, repeats, stands)
+    sent = rows.mapInArrow(count, "block long, entries binary").repartition("block").sortWithinPartitions("block")
+    return sent.mapInArrow(merge, "k1 long, place int")
+
+
+SENT = "gram long, k1 long, k2 long, place int, mask long, hashes binary, multi long"
+
+
+def marks(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(k1, k2, place, mask): bit i of mask says that the window at place + i also starts elsewhere."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = keyed(docs)
+    runs = window - (window + 1) // 2 + 1
 
-    found = materialise(mapped(docs, second, SENT), "windows")
+    def second(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in (s for b in parts if b.num_rows for s in by_bytes(b, "text")):
+            gram, doc, place, count, hashes = places(as_bytes(b.column("text")), window)
+            at = b.column("at")
+            wanted = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy())) << 32 | at.flatten().to_numpy()
+            keep = np.isin(doc << 32 | place, wanted)
+            k1, k2 = (b.column(k).to_numpy()[doc[keep]] for k in ("k1", "k2"))
+            held.append((gram[keep], k1, k2, place[keep].astype(np.int32), count[keep], hashes[np.repeat(keep, count)]))
+            if sum(len(x[5]) for x in held) > FLUSH:
+                yield own(*map(np.concatenate, zip(*held)))
+                held = []
+        if held:
+            yield own(*map(np.concatenate, zip(*held)))
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(gram, k1, k2, place, count, hashes) -> pa.RecordBatch:
+        """A row for each place with windows that stand for themselves elsewhere (their hashes), and one for each document's other places, whose windows are known to repeat (their marks)."""
+        first = np.cumsum(count) - count
+        repeats, stands = combine(np.repeat(gram, count), hashes, np.zeros(len(hashes), bool))
+        known, sends = bits_of(repeats, first, count), bits_of(stands, first, count)
+        go, done = np.flatnonzero(sends), np.flatnonzero((sends == 0) & (known != 0))
+        done = done[np.lexsort((k2[done], k1[done]))]
+        marks = np.empty(len(done), MARK)
+        marks["place"], marks["mask"] = place[done], known[done]
+        x, y = k1[done], k2[done]
+        ends = np.flatnonzero(np.concatenate([(x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]])) + 1 if len(done) else done
+        at = done[ends - 1]
+        body = np.concatenate([hashes[stands].view(np.uint8), marks.view(np.uint8)])
+        size = np.concatenate([8 * np.add.reduceat(stands, first, dtype=np.int64)[go] if len(go) else go, MARK.itemsize * np.diff(ends, prepend=0)])
+        both = np.concatenate([go, at])
+        zero = np.zeros(len(at), np.int64)
+        cols = [np.concatenate([gram[go].view(np.int64), k1[at]]), k1[both], k2[both], place[both], np.concatenate([known[go], zero])]
+        return pa.record_batch([*map(pa.array, cols), packed(body, np.cumsum(size)), pa.array(np.concatenate([sends[go], zero]))], ["gram", "k1", "k2", "place", "mask", "hashes", "multi"])
+
+    def exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches are sorted by gram; the last gram of one may go on in the next."""
         rest = None
-        for b in batches:
+        for b in parts:
+            alone = pc.equal(b.column("multi"), 0)
+            if (done := b.filter(alone)).num_rows:
+                made, count = unpacked(done.column("hashes"), MARK)
+                yield pa.record_batch([pa.array(np.repeat(done.column(c).to_numpy(), count)) for c in ("k1", "k2")] + [pa.array(np.ascontiguousarray(made[c])) for c in ("place", "mask")], ["k1", "k2", "place", "mask"])
+            b = b.filter(pc.invert(alone))
             b = b if rest is None else pa.concat_batches([rest, b])
+            if not b.num_rows:
+                continue
             gram = b.column("gram").to_numpy()
             last = int(np.searchsorted(gram, gram[-1]))
             if last:
                 yield grouped(b.slice(0, last))[0]
             rest = b.slice(last)
-            if rest.num_rows > 20_000:  # a gram of very many batches: known repeats leave, what stands for them stays
+            if rest.num_rows > SMALL_ROWS:  # a gram of very many tasks: known repeats leave, what stands for them stays
                 done, rest = grouped(rest)
                 yield done
         if rest is not None and rest.num_rows:
@@ -209,62 +268,58 @@ def marks(docs: DataFrame, window: int = WINDOW, cells: int = CELLS) -> DataFram
 
     def grouped(b: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
         gram, mask, sends = (b.column(c).to_numpy() for c in ("gram", "mask", "multi"))
-        sent = [np.frombuffer(x, "<u8") for x in b.column("hashes").to_pylist()]
-        count = np.array([len(x) for x in sent], np.int64)
-        hashes = np.concatenate(sent)
-        row = np.repeat(np.arange(len(sent)), count)
-        bit = np.nonzero(sends[:, None] >> np.arange(window - (window + 1) // 2 + 1) & 1)[1]
-        repeats, stands, _ = combine(gram[row], hashes, (mask[row] >> bit & 1).astype(bool))
-        flags = np.zeros(len(sent), np.int64)
+        hashes, count = unpacked(b.column("hashes"), "<u8")
+        row = np.repeat(np.arange(len(count)), count)
+        bit = np.nonzero(sends[:, None] >> np.arange(runs) & 1)[1]
+        repeats, stands = combine(gram[row], hashes, (mask[row] >> bit & 1).astype(bool))
+        flags = mask.copy()
         np.bitwise_or.at(flags, row, repeats.astype(np.int64) << bit)
         done = np.flatnonzero(flags)
-        out = pa.record_batch([b.column(c).take(pa.array(done)) for c in ("doc_id", "text_hash", "place")] + [pa.array(flags[done])], ["doc_id", "text_hash", "place", "mask"])
-        kept = np.bincount(row[stands], minlength=len(sent))
+        name = ["k1", "k2", "place"]
+        out = pa.record_batch([*(b.column(c).take(pa.array(done)) for c in name), pa.array(flags[done])], [*name, "mask"])
+        kept = np.bincount(row[stands], minlength=len(count))
         go = np.flatnonzero(kept)
-        sends2 = np.zeros(len(sent), np.int64)
+        sends2 = np.zeros(len(count), np.int64)
         np.bitwise_or.at(sends2, row[stands], np.int64(1) << bit[stands])
-        pieces = np.split(hashes[stands], np.cumsum(kept)[:-1])
-        rest = [b.column(c).take(pa.array(go)) for c in ("gram", "doc_id", "text_hash", "place")]
-        rest += [pa.array((flags | mask)[go]), pa.array([pieces[i].tobytes() for i in go], pa.binary()), pa.array(sends2[go])]
-        return out, pa.record_batch(rest, ["gram", "doc_id", "text_hash", "place", "mask", "hashes", "multi"])
+        rest = [b.column(c).take(pa.array(go)) for c in ("gram", *name)] + [pa.array(flags[go]), packed(hashes[stands], np.cumsum(kept)[go]), pa.array(sends2[go])]
+        return out, pa.record_batch(rest, b.schema.names)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = found.filter("multi != 0").repartition(n, "gram").sortWithinPartitions("gram")
-    with row_batches(spark):
-        later = materialise(met.mapInArrow(exact, "doc_id long, text_hash long, place long, mask long"), "marks")
-    return later.union(found.filter("mask != 0").select("doc_id", "text_hash", "place", "mask"))
+    with batches(spark, TEXT_ROWS):
+        some = candidates(rows, window, cells, max(1, -(-size // block_bytes)))
+        by_doc = some.groupBy("k1").agg(F.collect_set("place").alias("at"))  # no longer than the document
+        sent = rows.join(by_doc, "k1").mapInArrow(second, SENT)
+        # A row of a document's known places has its k1 for a gram: only what stands for a gram's windows meets.
+        return materialise(sent.repartition("gram").sortWithinPartitions("gram").mapInArrow(exact, "k1 long, k2 long, place int, mask long"), "marks")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, cells: int = CELLS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_words, n_removed, kept_text, kept_sha256), one row for each row.
 
     Words are runs without ASCII white space. A null text has no words; a text with fewer words than `window` keeps all. Repeated
     rows repeat each other's windows. A null doc_id is a document like any other. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = marks(docs, window, cells)
+    found = marks(docs, window, cells, block_bytes)
     runs = window - (window + 1) // 2 + 1
-    by_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.shiftleft("place", runs) + F.col("mask")).alias("marks"))
-    by_doc = by_doc.withColumnRenamed("doc_id", "d")
-    keyed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = keyed.join(by_doc, keyed.doc_id.eqNullSafe(by_doc.d) & (keyed.h == by_doc.text_hash), "left").select("doc_id", "text", "marks")
+    one = found.groupBy("k1", "k2", "place").agg(F.bit_or("mask").alias("mask"))
+    by_doc = one.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))  # no longer than the document
+    text = F.coalesce("text", F.lit(""))
+    both = docs.withColumns({"k1": F.xxhash64("doc_id", text), "k2": F.xxhash64(F.lit(1), text, "doc_id")}).join(by_doc, ["k1", "k2"], "left")
+    both = both.select("doc_id", "text", F.col("marks.place").alias("place"), F.col("marks.mask").alias("mask"))
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batch, "text"):
             texts, n_words, n_removed, kept = as_bytes(b.column("text")), [], [], []
-            for text, m in zip(texts, b.column("marks")):
+            for text, at, m in zip(texts, b.column("place"), b.column("mask")):
                 words = text.split()
-                gone = np.zeros(len(words) + 1, np.int64)
+                left = words
                 if m.is_valid:
-                    m = m.values.to_numpy()
-                    at, bit = np.nonzero(m[:, None] >> np.arange(runs) & 1)
-                    starts = np.unique((m >> runs)[at] + bit)
+                    row, bit = np.nonzero(m.values.to_numpy()[:, None] >> np.arange(runs) & 1)
+                    starts = np.unique(at.values.to_numpy()[row] + bit)
+                    gone = np.zeros(len(words) + 1, np.int64)
                     gone[starts] += 1
                     np.subtract.at(gone, starts + window, 1)
-                    covered = np.cumsum(gone[:-1]) > 0
-                    left = [w for w, c in zip(words, covered.tolist()) if not c]
-                else:
-                    left = words
+                    left = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left))

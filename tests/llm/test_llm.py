@@ -317,13 +317,13 @@ def brute_removed(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window,cells", [(35, 27), (35, 6), (5, 10), (2, 4)])
-def test_substrings_equal_brute_force(spark, window, cells):
+@pytest.mark.parametrize("window,cells,block_bytes", [(35, substrings.CELLS, substrings.BLOCK_BYTES), (35, 6, 3000), (5, 10, 500), (2, 4, 1 << 20)])
+def test_substrings_equal_brute_force(spark, window, cells, block_bytes):
     rng = np.random.default_rng(window)
     made = [(int(i), " ".join(f"w{x}" for x in rng.integers(0, 4 if i % 2 else 500, rng.integers(0, 150)))) for i in range(60)]
     made += [(100 + i, made[i][1]) for i in range(5)] + [(200, "q " * 300), (201, "\u00a0 x\u3000y \x1cz"), (3, made[3][1])]
     made += [(300 + i, " ".join(made[i][1].split()[3:] + ["end"])) for i in range(10)] + [(400, None), (401, "")]
-    got = substrings.remove_repeats(spark.createDataFrame(made, "doc_id long, text string").repartition(3), window, cells)
+    got = substrings.remove_repeats(spark.createDataFrame(made, "doc_id long, text string").repartition(3), window, cells, block_bytes)
     want = sorted((d, *b) for (d, _), b in zip(made, brute_removed([t for _, t in made], window)))
     assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
