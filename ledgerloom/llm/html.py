@@ -3,7 +3,7 @@
 A tolerant tokenizer builds a tree of elements. Boilerplate elements go first: by tag (nav, footer, form, script ...) or by a word
 of class, id or role (menu, sidebar, advert, cookie notice, comments ...). Each block of text that is left is a paragraph: it
 gives a point, one for each comma and up to three for its length to its container, half of that to the next and a third of
-half to those above. A container's score is discounted by its link density. The best container is kept, with siblings whose
+half to those above, up to LEVELS containers. A container's score is discounted by its link density. The best is kept, with siblings whose
 score is near its own or that are plain paragraphs, lists or tables. A container inside an article or main stands for all of it.
 """
 
@@ -37,6 +37,8 @@ LAYOUT_WORDS = set("has no with without is not".split())
 OWN_HEADER = set("article entry post story".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 
+LEVELS = 16
+
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|$)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -50,16 +52,16 @@ class Node:
 
 
 def tree(html: str) -> Node:
-    """Elements and texts in page order. Open elements end with the page; an end tag without its start is ignored."""
+    """Elements and texts in page order, character references decoded in each text (not in CDATA). Open elements end with the page; an end tag without its start is ignored."""
     root = at = Node("html", "", None)
     place, n = 0, len(html)
     while place < n:
         m = TAG.search(html, place)
         if m is None:
-            at.kids.append(html[place:])
+            at.kids.append(unescape(html[place:]))
             break
         if m.start() > place:
-            at.kids.append(html[place : m.start()])
+            at.kids.append(unescape(html[place : m.start()]))
         place = m.end()
         if m["cdata"] is not None:
             at.kids.append(m["cdata"])
@@ -142,7 +144,7 @@ def blocks(node: Node, link: bool = False) -> Iterator[tuple[Node, str, int]]:
 
     def flush(owner: Node):
         nonlocal run, linked
-        text = " ".join(unescape("".join(run)).split())
+        text = " ".join("".join(run).split())
         size, run, linked = linked, [], 0
         if text:
             yield owner, text, min(size, len(text))
@@ -171,6 +173,15 @@ def blocks(node: Node, link: bool = False) -> Iterator[tuple[Node, str, int]]:
             stack.append((kid, iter(kid.kids), owner, in_link or kid.tag == "a"))
 
 
+def in_order(root: Node) -> list[Node]:
+    """All elements, each after the one that holds it."""
+    out, at = [root], 0
+    while at < len(out):
+        out += [k for k in out[at].kids if isinstance(k, Node)]
+        at += 1
+    return out
+
+
 def points(text: str) -> float:
     return 1 + sum(text.count(c) for c in ",，、،") + min(3.0, len(text) / 100)
 
@@ -179,22 +190,25 @@ def main_text(html: str) -> str:
     """The article's text: its blocks in page order, white space folded, joined by spaces; empty if the page has none."""
     root = tree(html)
     found = list(blocks(root))
-    scored: list[Node] = []
+    scored: dict[int, Node] = {}
     for owner, text, linked in found:
-        up = owner if owner.tag in CONTAINER else owner.parent
+        owner.text_len += len(text)
+        owner.link_len += linked
+        up = owner
         share, level, p = 1.0, 0, points(text)
         heading = owner.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        while up is not None:
-            up.text_len += len(text)
-            up.link_len += linked
+        while up is not None and level < LEVELS:
             if up.tag in CONTAINER:
-                if not up.score and not any(up is x for x in scored[-8:]):
-                    scored.append(up)
+                scored[id(up)] = up
                 if not heading:
                     up.score += p * share
                 level += 1
                 share = 0.5 if level == 1 else 0.5 / (3 * (level - 1))
             up = up.parent
+    for node in in_order(root)[::-1]:  # what a part has counts for what holds it
+        if node.parent is not None:
+            node.parent.text_len += node.text_len
+            node.parent.link_len += node.link_len
     if not found:
         return ""
     if not scored:
@@ -204,13 +218,13 @@ def main_text(html: str) -> str:
         bonus = 25 if x.tag in ("article", "main") or "articleBody" in x.attrs or re.search(r"role\s*=\s*[\"']?main", x.attrs) else 0
         return (x.score + bonus) * (1 - x.link_len / max(1, x.text_len))
 
-    best = max(scored, key=final)
+    best = max(scored.values(), key=final)
     up = best  # a part of an article stands for all of it
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
     best = up or best
     top, edge = final(best), max(10.0, 0.2 * final(best))
-    kept = {id(best)}
+    kept = {id(best): True}
     for x in best.parent.kids if best.parent is not None else ():
         if not isinstance(x, Node) or x is best:
             continue
@@ -218,16 +232,11 @@ def main_text(html: str) -> str:
         size, linked = sum(len(t) for t, _ in inside), sum(k for _, k in inside)
         plain = x.tag in PLAIN and size and linked / size < (0.25 if size > 80 else 0.01)
         if inside and (plain or x.tag in CONTAINER and top > 0 and final(x) >= edge):
-            kept.add(id(x))
-
-    out = []
-    for owner, text, _ in found:
-        up = owner
-        while up is not None and id(up) not in kept:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return " ".join(out)
+            kept[id(x)] = True
+    for node in in_order(root):  # what a kept part holds is kept
+        if id(node) not in kept:
+            kept[id(node)] = node.parent is not None and kept[id(node.parent)]
+    return " ".join(text for owner, text, _ in found if kept[id(owner)])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
