@@ -2,7 +2,9 @@
 
 parse() walks the elements of a file by their variable-length ids and sizes (unknown sizes included) down to the blocks of the
 clusters, undoes lacing (none, Xiph, EBML, fixed) and returns a packet table (track, timestamp, byte range, keyframe, lacing),
-with tracks and cues. A document's bytes are stored as 8-bit unsigned PCM: packets of PACKET samples, several laced to a block.
+with tracks and cues. A block has one timestamp; the laced packets after its first follow by the track's default duration, else by
+their share of the block's duration, else, for PCM, by the samples before them; where nothing tells, they have the block's. A
+document's bytes are stored as 8-bit unsigned PCM: packets of PACKET samples, several laced to a block.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from ledgerloom.llm.common import as_bytes, by_bytes, mapped
 EBML, VERSION, READ_VERSION, MAX_ID, MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
 DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, SCALE, DURATION, MUXER, WRITER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
-TRACKS, ENTRY, NUMBER, UID, TYPE, CODEC, LACING, NAME = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0x536E
+TRACKS, ENTRY, NUMBER, UID, TYPE, CODEC, LACING, NAME, EACH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0x536E, 0x23E383
 AUDIO, RATE, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -67,7 +69,7 @@ def write(payload: bytes) -> bytes:
     head = element(EBML, uint(VERSION, 1), uint(READ_VERSION, 1), uint(MAX_ID, 4), uint(MAX_SIZE, 8), element(DOC_TYPE, b"matroska"), uint(DOC_VERSION, 4), uint(DOC_READ_VERSION, 2))
     info = element(INFO, uint(SCALE, 1_000_000), element(MUXER, b"llm"), element(WRITER, b"llm"))
     audio = element(AUDIO, element(RATE, bytes.fromhex("45fa0000")), uint(CHANNELS, 1), uint(DEPTH, 8))  # 8000.0
-    tracks = element(TRACKS, element(ENTRY, uint(NUMBER, 1), uint(UID, 1), uint(TYPE, 2), uint(LACING, 1), element(CODEC, b"A_PCM/INT/LIT"), audio))
+    tracks = element(TRACKS, element(ENTRY, uint(NUMBER, 1), uint(UID, 1), uint(TYPE, 2), uint(LACING, 1), uint(EACH, PACKET * 1_000_000_000 // RATE_HZ), element(CODEC, b"A_PCM/INT/LIT"), audio))
     parts, cues, at = [info, tracks], [], len(info) + len(tracks)
     span = PACKET * LACED * BLOCKS
     for begin in range(0, len(payload), span):
@@ -89,7 +91,7 @@ def write(payload: bytes) -> bytes:
 class Media:
     doc_type: str = ""
     scale: int = 1_000_000
-    tracks: list[dict] = field(default_factory=list)  # number, type, codec, rate, channels, depth
+    tracks: list[dict] = field(default_factory=list)  # number, type, codec, rate, channels, depth, each (nanoseconds a packet, or 0)
     packets: list[tuple[int, int, int, int, bool, str]] = field(default_factory=list)  # track, timestamp, start, end, keyframe, lacing
     cues: list[tuple[int, int, int]] = field(default_factory=list)  # time, track, position in the file
     clusters: list[int] = field(default_factory=list)  # position in the file
@@ -143,18 +145,20 @@ def frames(data: bytes, at: int, end: int) -> tuple[int, int, int, str, list[tup
         size, at = read_number(data, at)
         sizes.append(size)
         for _ in range(n - 2):
-            width = 9 - data[at].bit_length()
-            raw = int.from_bytes(data[at : at + width], "big") & (1 << 7 * width) - 1
-            sizes.append(sizes[-1] + raw - ((1 << (7 * width - 1)) - 1))
-            at += width
+            raw, after = read_number(data, at, keep=True)
+            width = after - at
+            sizes.append(sizes[-1] + (raw & (1 << 7 * width) - 1) - ((1 << (7 * width - 1)) - 1))
+            at = after
     elif kind == "fixed":
+        if (end - at) % n:
+            raise ValueError("the bytes of a fixed lace can't be divided among its packets")
         sizes = [(end - at) // n] * (n - 1)
     out = []
     for size in sizes:
+        if size < 0 or at + size > end:
+            raise ValueError("a lace is longer than its block, or has a packet of less than no bytes")
         out.append((at, at + size))
         at += size
-    if at > end:
-        raise ValueError("a lace is longer than its block")
     return track, time, flags, kind, [*out, (at, end)]
 
 
@@ -170,25 +174,36 @@ def parse(data: bytes) -> Media:
             if eid == TIMESTAMP:
                 time = value(body, stop)
             elif eid == SIMPLE_BLOCK:
-                block(body, stop, time, None)
+                block(body, stop, time, False, 0)
             elif eid == BLOCK_GROUP:
-                for sub, _, b, s in elements(data, body, stop):
+                parts = [(sub, b, s) for sub, _, b, s in elements(data, body, stop)]
+                lasts = next((value(b, s) for sub, b, s in parts if sub == BLOCK_DURATION), 0)
+                for sub, b, s in parts:
                     if sub == BLOCK:
-                        block(b, s, time, True)
+                        block(b, s, time, True, lasts)
         return at
 
-    def block(body: int, stop: int, time: int, group: bool | None) -> None:
+    def block(body: int, stop: int, time: int, group: bool, lasts: int) -> None:
         try:
             track, relative, flags, kind, ranges = frames(data, body, stop)
         except IndexError:
             raise ValueError(f"the block at byte {body} is cut off") from None
-        m.packets.extend((track, time + relative, a, b, bool(flags & 0x80) or bool(group), kind) for a, b in ranges)
+        t = next((t for t in m.tracks if t["number"] == track), {"each": 0, "codec": ""})
+        sample = t["channels"] * t["depth"] / 8 * t["rate"] if t["codec"].startswith("A_PCM") else 0  # bytes a second
+        for i, (a, b) in enumerate(ranges):
+            if t["each"]:
+                later = i * t["each"] // m.scale
+            elif lasts:
+                later = i * lasts // len(ranges)
+            else:
+                later = int((a - ranges[0][0]) / sample * 1_000_000_000 / m.scale) if sample else 0
+            m.packets.append((track, time + relative + later, a, b, bool(flags & 0x80) or group, kind))
 
     def track(body: int, stop: int) -> dict:
-        t = {"number": 0, "type": 0, "codec": "", "rate": 8000.0, "channels": 1, "depth": 0}
+        t = {"number": 0, "type": 0, "codec": "", "rate": 8000.0, "channels": 1, "depth": 0, "each": 0}
         for eid, _, b, s in elements(data, body, stop):
-            if eid in (NUMBER, TYPE):
-                t["number" if eid == NUMBER else "type"] = value(b, s)
+            if eid in (NUMBER, TYPE, EACH):
+                t[{NUMBER: "number", TYPE: "type", EACH: "each"}[eid]] = value(b, s)
             elif eid == CODEC:
                 t["codec"] = data[b:s].rstrip(b"\0").decode("ascii", "replace")
             elif eid == AUDIO:
