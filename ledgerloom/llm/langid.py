@@ -8,7 +8,6 @@ is worked out once; a text then costs one look-up a byte, and its code length is
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import as_bytes, by_bytes, fresh, mapped
 
-ORDER, CONTEXTS, TRAIN_DOCS, TRAIN_BYTES, PARTS, SLACK, UNKNOWN = 3, 12_000, 300, 1_000_000, 64, 256, "und"
-LETTER = re.compile(r"[^\W\d_]")
+ORDER, CONTEXTS, TRAIN_DOCS, TRAIN_BYTES, SLACK, UNKNOWN = 3, 3000, 300, 1_000_000, 256, "und"
 
 
 @dataclass
@@ -57,8 +55,13 @@ class Model:
         return out
 
 
+def lettered(text: bytes) -> bool:
+    """Whether the text has a letter: a character of a Unicode category L."""
+    return any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
 def train(samples: dict[str, list[bytes]], contexts: int = CONTEXTS) -> Model | None:
-    """None if there is no sample. Keeps the `contexts` most frequent contexts of the merged trees, of each order whole ones first."""
+    """None if there is no sample. Keeps `contexts` contexts a language of the merged trees, the most frequent ones, of each order whole ones first."""
     langs = sorted(k for k, v in samples.items() if any(v))
     if not langs:
         return None
@@ -79,7 +82,7 @@ def train(samples: dict[str, list[bytes]], contexts: int = CONTEXTS) -> Model |
                 code = code * width + s[j : len(s) - order + j]
             grams[order][k] = np.unique(code, return_counts=True)
     kept: dict[int, np.ndarray] = {0: np.zeros(1, np.int64)}
-    room = contexts - 1
+    room = contexts * len(langs) - 1
     for order in range(1, ORDER + 1):
         codes = np.concatenate([grams[order][k][0] // width for k in langs])
         names, where = np.unique(codes, return_inverse=True)
@@ -122,19 +125,26 @@ def row_of(names: np.ndarray, order: int, kept: dict, offsets: np.ndarray, width
 
 
 def learn(docs: DataFrame, docs_of_lang: int = TRAIN_DOCS, bytes_of_lang: int = TRAIN_BYTES) -> Model | None:
-    """Trains on a bounded sample of docs (doc_id, text, lang): of each language, whole documents in the order of a hash of doc_id,
-    at most docs_of_lang of them, until bytes_of_lang bytes are reached. Rows with a null id, text or lang teach nothing."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    """Trains on a bounded sample of docs (doc_id, text, lang): of each language documents in the order of a hash of doc_id, at most
+    docs_of_lang of them, as long as those before have fewer than bytes_of_lang characters; of a longer one its first
+    bytes_of_lang. Rows with a null id, text or lang teach nothing. Of repeated ids the shortest texts come first.
+    """
+    known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     by = F.xxhash64(F.col("doc_id").cast("string"))
-    first = lambda df, *keys: df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("by", "doc_id"))).filter(F.col("place") <= docs_of_lang)
-    # A language that has most rows is cut to its best by parts first.
-    ids = first(first(known.select("doc_id", "lang", by.alias("by")).withColumn("part", F.pmod("by", F.lit(PARTS))), "lang", "part"), "lang")
-    place = {(r.doc_id, r.lang): r.place for r in ids.collect()}  # at most docs_of_lang rows a language
-    some = known.filter(F.col("doc_id").isin(sorted({k[0] for k in place}))).select("doc_id", "lang", "text") if place else known.select("doc_id", "lang", "text").limit(0)
+    sizes = known.select("doc_id", "lang", by.alias("by"), F.length("text").alias("size"))
+    # Twice as many as wanted lie below a bound on the hash, so a language that has most rows is not ranked in one task.
+    counts = sizes.groupBy("lang").agg(F.count("*").alias("n"))
+    unit = F.shiftrightunsigned("by", 11) / F.lit(float(1 << 53))
+    some = sizes.join(counts, "lang").filter(unit * F.col("n") < 2 * docs_of_lang + 20)
+    order = Window.partitionBy("lang").orderBy("by", "doc_id", "size")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = some.withColumns({"place": F.row_number().over(order), "before": before}).filter((F.col("place") <= docs_of_lang) & (F.col("before") < bytes_of_lang))
+    ids = first.groupBy("doc_id", "lang").agg(F.min("place").alias("place"))
+    rows = known.join(ids, ["doc_id", "lang"]).select("lang", "place", F.left("text", F.lit(bytes_of_lang)).alias("text")).collect()  # bounded for each language
     samples: dict[str, list[bytes]] = {}
-    for r in sorted(some.collect(), key=lambda r: (place.get((r.doc_id, r.lang), 0), r.text)):
+    for r in sorted(rows, key=lambda r: (r.place, len(r.text), r.text)):
         mine = samples.setdefault(r.lang, [])
-        if (r.doc_id, r.lang) in place and sum(map(len, mine)) < bytes_of_lang:
+        if sum(map(len, mine)) < bytes_of_lang:
             mine.append(r.text.encode())
     return train(samples)
 
@@ -145,22 +155,24 @@ def held_out(doc_id) -> F.Column:
 
 
 def identify(docs: DataFrame, model: Model | None, reject: bool = False) -> DataFrame:
-    """docs with lang_pred and score added, or under other names if docs has these; reject=True drops instead what no language codes.
+    """docs with lang_pred and score added, or under other names if docs has these; reject=True also drops what no language codes.
 
     lang_pred is the language of the shortest code (ties: the first by name), `und` if the text is null or has no letter or
     nothing was learned; score is its posterior under equal priors (und: 0). Only the column text is read. Rejected, where asked
     for, are documents that are `und` and those whose best code is longer than 8 bits a byte by SLACK bits: a short text with a strange
-    word stays. If nothing was learned (model is None), only null texts and texts without a letter are rejected.
+    word stays. If nothing was learned (model is None), only null texts and texts without a letter are rejected. Rows are judged one
+    by one, repeated ones alike.
     """
-    spark = docs.sparkSession
-    names = [] if reject else [fresh(docs, "lang_pred"), fresh(docs, "score")]
-    sent = spark.sparkContext.broadcast(model)
+    names = [fresh(docs, "lang_pred"), fresh(docs, "score")]
+    # Plain arrays: a worker that gets them needs no copy of this package.
+    sent = docs.sparkSession.sparkContext.broadcast(model and (model.langs, model.symbol, model.context, model.cost))
 
     def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        model = sent.value and Model(*sent.value)
         for b in by_bytes(batch, "text", 1 << 20):
-            texts, model = as_bytes(b.column("text")), sent.value
-            lang, conf, keep = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            can = [i for i, t in enumerate(texts) if model and LETTER.search(t.decode("utf-8", "replace"))]
+            texts = as_bytes(b.column("text"))
+            lang, conf, keep = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.array([lettered(t) for t in texts])
+            can = np.flatnonzero(keep).tolist() if model else []
             if can:
                 bits = model.bits([texts[i] for i in can])
                 best = bits.argmin(1)
@@ -168,15 +180,11 @@ def identify(docs: DataFrame, model: Model | None, reject: bool = False) -> Data
                 odds = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1)
                 for i, k, p, x in zip(can, best.tolist(), odds.tolist(), low.tolist()):
                     lang[i], conf[i], keep[i] = model.langs[k], p, x < 8 * len(texts[i]) + SLACK
-            if not model:
-                keep[:] = [LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts]
-            if reject:
-                yield b.filter(pa.array(keep))
-            else:
-                yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(conf)], [*b.schema.names, *names])
+            out = pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(conf)], [*b.schema.names, *names])
+            yield out.filter(pa.array(keep)) if reject else out
 
     out = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return mapped(docs, score, ", ".join([out, *(f"{n} {t}" for n, t in zip(names, ("string", "double")))]))
+    return mapped(docs, score, f"{out}, `{names[0]}` string, `{names[1]}` double")
 
 
 def op5_langid(spark, sf_dir: str) -> DataFrame:
