@@ -1,5 +1,7 @@
-"""Near copies by the Jaccard similarity of whole word-shingle sets: MinHash bands find candidates, the sets themselves decide.
+"""Near copies by the Jaccard similarity of whole word-shingle sets: SimHash links and MinHash bands find candidates, the sets themselves decide.
 
+The closest copies are met by the links of their SimHash fingerprints (Golay-code keys, 3 bits, as in simhash). At a similarity of
+0.8 fingerprints differ by more bits than such keys reach, so minima of the same shingles, in bands, find the rest.
 Two sets of similarity s agree on a band of ROWS minima with probability s^ROWS, so that at 0.8 all BANDS bands differ with a
 probability below 3e-11. Members of a bucket are first held against its smallest; then all pairs of a bucket that these links have
 not connected. Texts with the same set of shingles are one set from the start.
@@ -14,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import simhash
 from ledgerloom.llm.common import SMALL_ROWS, TEXT_ROWS, as_bytes, batches, by_bytes, components, mapped, materialise
 
 WIDTH, NUMERATOR, DENOMINATOR, ROWS, BANDS, SEED = 5, 4, 5, 6, 80, 42
@@ -43,13 +46,19 @@ def bands(s: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes; no shingles: zero."""
+    ones = np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) if len(s) else np.zeros(64, np.int64)
+    return int(np.packbits(2 * ones > len(s)).view("<i8")[0])
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
 def signed(docs: DataFrame, text: str, row: list[str]) -> DataFrame:
-    """(row columns, sid, n, keys) for each row of docs: sid names the set of shingles, n is its size."""
+    """(row columns, sid, n, fp, keys) for each row of docs: sid names the set of shingles, n is its size, fp its SimHash."""
     rng = np.random.default_rng(SEED)
     factors, shifts = (rng.integers(0, 1 << 32, ROWS * BANDS, np.uint32) for _ in range(2))
     factors |= np.uint32(1)
@@ -61,10 +70,10 @@ def signed(docs: DataFrame, text: str, row: list[str]) -> DataFrame:
             sets = [shingles(x) for x in as_bytes(b.column(text))]
             sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([bands(s, factors, shifts) for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([*(b.column(c) for c in row), pa.array(sid), pa.array([len(s) for s in sets], pa.int32()), keys], [*row, "sid", "n", "keys"])
+            yield pa.record_batch([*(b.column(c) for c in row), pa.array(sid), pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(s) for s in sets], pa.int64()), keys], [*row, "sid", "n", "fp", "keys"])
 
     kinds = dict(docs.dtypes)
-    return mapped(docs.select(*row, text), run, ", ".join([*(f"`{c}` {kinds[c]}" for c in row), "sid long, n int, keys array<long>"]))
+    return mapped(docs.select(*row, text), run, ", ".join([*(f"`{c}` {kinds[c]}" for c in row), "sid long, n int, fp long, keys array<long>"]))
 
 
 def met(prints: DataFrame) -> DataFrame:
@@ -95,6 +104,16 @@ def met(prints: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "key long, low long, low_n long, sid long, n long")
 
 
+def close(prints: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints differ by at most 3 bits, as stars and forests over prints (sid, n, fp)."""
+    one = prints.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("low"))
+    same = prints.join(one, "fp").select(F.col("low.sid").alias("a"), F.col("low.n").alias("m"), F.col("sid").alias("b"), "n")
+    linked = simhash.links(one.select("fp"))
+    ends = linked.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b")
+    near = ends.select(F.col("x.sid").alias("a"), F.col("x.n").alias("m"), F.col("y.sid").alias("b"), F.col("y.n").alias("n"))
+    return same.union(near).filter((F.col("a") != F.col("b")) & fits(F.col("m"), F.col("n"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def fits(a, b) -> F.Column:
     """Whether sets of these sizes can be similar enough."""
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
@@ -133,10 +152,11 @@ def firsts(docs: DataFrame, text: str, order: list[str]) -> DataFrame:
     rows = signed(docs.select(*order, text, F.xxhash64(text).alias("digest")), text, [*order, "digest"])
     place = F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))))
     with batches(spark, TEXT_ROWS):
-        prints = materialise(rows.groupBy("sid").agg(F.min(place).alias("first"), F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("keys").alias("keys")), "prints")
+        prints = materialise(rows.groupBy("sid").agg(F.min(place).alias("first"), F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "prints")
     with batches(spark, SMALL_ROWS):
         buckets = materialise(met(prints), "buckets")
-    star = materialise(buckets.filter((F.col("low") != F.col("sid")) & fits(F.col("low_n"), F.col("n"))).select(F.col("low").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
+    star = buckets.filter((F.col("low") != F.col("sid")) & fits(F.col("low_n"), F.col("n"))).select(F.col("low").alias("a"), F.col("sid").alias("b"))
+    star = materialise(star.union(close(prints)).distinct(), "pairs")
     named = star.select(F.col("a").alias("sid")).union(star.select("b")).distinct().join(prints.select("sid", "digest"), "sid")
     linked = materialise(verified(star, bodies(docs, text, named)), "links")
     tree = components(linked)
