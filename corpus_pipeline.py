@@ -13,14 +13,20 @@ from ledgerloom.llm.common import discard, fresh, materialise
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: no letters, or none of the learned languages codes them in about 8 bits a byte or fewer."""
+    """Rejects documents without a language: no letters, or none of the learned languages codes them in about 8 bits a byte or fewer.
+
+    A null lang becomes the language found, where one was learned; others stay as given. Rows are judged one by one.
+    """
     model = langid.learn(docs.filter(~langid.held_out("doc_id")))
-    return langid.identify(docs, model, reject=True)
+    found = F.col(fresh(docs, "lang_pred"))
+    got = langid.identify(docs, model, reject=True)
+    return got.withColumn("lang", F.coalesce("lang", F.nullif(found, F.lit(langid.UNKNOWN)))).select(docs.columns)
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by a similarity of 0.8 or more (Jaccard of their five-word shingles) the row with the smallest doc_id stays, rows without one last.
 
+    SimHash links with Golay-code keys and bands of minima find the pairs, whole sets of shingles decide.
     Ties go by a hash of the text, then of the row; equal rows are one. Rows without words are copies of each other only if they have an id.
     """
     text, name, digest, whole = F.col("text"), *(fresh(docs, c) for c in ("no_id", "digest_of_text", "digest_of_row"))
@@ -42,18 +48,23 @@ def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents so that the tokens of sources, languages and topics follow their shares to the power 0.7, at 3/4 of all tokens."""
-    part = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
-    got, _, _, _, kept = mixing.mix(docs, part, mixing.tokens(F.col("text")), F.col("doc_id"), budget=0.75)
+    """Draws documents so that the tokens of sources, languages and topics follow their shares to the power 0.7, at 3/4 of all tokens.
+
+    Null sources and languages are levels of their own; rows of one id, also a null one, are drawn alike; a text without words stays.
+    """
+    topic, tokens = fresh(docs, "topic_of_text"), fresh(docs, "tokens_of_text")
+    sized = materialise(docs.withColumns({topic: mixing.topic(F.col("text")), tokens: mixing.tokens(F.col("text"))}), "sized")
+    part = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(topic)}
+    got, _, _, _, kept = mixing.mix(sized, part, F.col(tokens), F.col("doc_id"), budget=0.75)
     return got.filter(F.col(kept)).select(docs.columns)
 
 
 def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places in sequences of at most 2048 tokens, a row for each piece."""
+    """Places in sequences of at most 2048 tokens, a row for each piece. A null text or id is packed like any other, repeated rows each."""
     return packing.pack(docs, packing.vocabulary())
 
 
-STAGES = [("language ID", language), ("near-dedup", near_dedup), ("secret scans", redact_secrets), ("mixing sources to target weights", mix_sources), ("best-fit packing", pack_sequences)]
+STAGES = [("language ID", language), ("SimHash near-dedup", near_dedup), ("secret scans", redact_secrets), ("mixing sources to target weights", mix_sources), ("best-fit packing", pack_sequences)]
 ORACLE_SQL = None
 
 
