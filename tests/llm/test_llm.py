@@ -83,21 +83,79 @@ def test_redaction_leaves_no_secret(spark, docs):
 # --- mixing ---
 
 
+def plain_rake(n, goals, whole, sweeps=200):
+    """n: {cell: tokens}; goals: a dict of levels for each place of a cell. Expected tokens of each cell, none above n."""
+    x = {c: float(t) if whole(c) else t / 2 for c, t in n.items()}
+    for _ in range(sweeps):
+        for i, goal in enumerate(goals):
+            for level, want in goal.items():
+                mine = [c for c in n if c[i] == level]
+                for _ in range(100):  # scaled until the level holds, or nothing is left to scale
+                    free = [c for c in mine if not whole(c) and (x[c] < n[c] or sum(x[k] for k in mine) > want)]
+                    have, rest = sum(x[c] for c in free), want - sum(x[c] for c in mine if c not in free)
+                    if not free or have <= 0 or abs(have - rest) < 1e-9 * max(1, want):
+                        break
+                    for c in free:
+                        x[c] = min(n[c], x[c] * max(0.0, rest) / have)
+    return x
+
+
+def plain_goals(n, place, budget, power):
+    tokens = {}
+    for c, t in n.items():
+        tokens[c[place]] = tokens.get(c[place], 0) + t
+    full = set()
+    while True:
+        left = budget - sum(tokens[k] for k in full)
+        raw = sum(t**power for k, t in tokens.items() if k not in full)
+        more = {k for k, t in tokens.items() if k not in full and left * t**power / raw >= t}
+        if not more:
+            return {k: t if k in full else left * t**power / raw for k, t in tokens.items()}, full
+        full |= more
+
+
 def test_raked_margins_hold(spark):
-    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 10), ("b", "x", 30), ("b", "y", 60), ("c", "x", 0)], "s string, l string, n long")
-    goal = {"s": mixing.shares(cells.filter("n > 0"), "s", 1.0, {"a": 1, "b": 3}), "l": mixing.shares(cells.filter("n > 0"), "l", 0.0, None)}
-    got = mixing.rake(cells, ["s", "l"], goal)
-    for m, want in (("s", {"a": 0.25, "b": 0.75}), ("l", {"x": 0.5, "y": 0.5})):
-        for r in got.groupBy(m).agg(F.sum("w").alias("w")).collect():
-            assert abs(r.w - want[r[m]]) < 1e-5
-    # by hand: plain IPF on the same table
-    w = np.array([[100.0, 10], [30, 60]])
-    for _ in range(200):
-        w *= (np.array([0.25, 0.75]) / w.sum(1))[:, None]
-        w *= np.array([0.5, 0.5]) / w.sum(0)
-    assert np.allclose(sorted(r.w for r in got.collect()), sorted(w.ravel()), atol=1e-5)
-    p = mixing.probabilities(got, 0.5)
-    assert abs(p.agg(F.sum(F.col("p") * F.col("n"))).first()[0] - 100) < 1e-3 and p.agg(F.max("p")).first()[0] <= 1
+    n = {("a", "x"): 100, ("a", "y"): 10, ("b", "x"): 30, ("b", "y"): 60}
+    cells = spark.createDataFrame([(*c, t) for c, t in n.items()] + [("c", "x", 0)], "s string, l string, n long")
+    goal = {"s": mixing.shares(cells, "s", 1.0, {"a": 1, "b": 3}), "l": mixing.shares(cells, "l", 0.0, None)}
+    got = {(r.s, r.l): r.x for r in mixing.rake(cells, ["s", "l"], goal, 100.0, tolerance=1e-8).collect()}
+    want = plain_rake(n, [{"a": 25, "b": 75}, {"x": 50, "y": 50}], lambda c: False)
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-3 and got[c] <= n[c] for c in n)
+    # 150 of 200 tokens: b has 90 only and is kept whole, a makes up for it; x and y hold.
+    got = {(r.s, r.l): r.x for r in mixing.rake(cells, ["s", "l"], goal, 150.0, tolerance=1e-8).collect()}
+    assert got["b", "x"] == 30 and got["b", "y"] == 60 and abs(got["a", "x"] + got["a", "y"] - 60) < 0.1
+
+
+def test_mix_query_equals_a_plain_one(spark):
+    at, rows_ = "/root/testdata/sf0.01", {}
+    d = spark.read.parquet(f"{at}/documents.parquet")
+    units = {r.doc_id: r.u for r in d.selectExpr("doc_id", "shiftrightunsigned(xxhash64(42, doc_id), 11) / 9007199254740992d AS u").collect()}
+    for r in d.collect():
+        t = r.text or ""
+        low = t.lower()
+        topic = "license" if re.search("licen[cs]e|copyright|all rights reserved", low) else "contact" if re.search("[A-Za-z0-9._%+-]@[A-Za-z0-9-]", t) else "code" if re.search(r"[{}<>=;]|\w\(", t, re.A) else "prose"
+        rows_[r.doc_id] = (r.source, r.lang, topic, len(re.findall(r"[^\x20\x09-\x0D]+", t)))
+    n = {}
+    for *cell, t in rows_.values():
+        n[tuple(cell)] = n.get(tuple(cell), 0) + t
+    n = {c: t for c, t in n.items() if t}
+    made = [plain_goals(n, i, sum(n.values()) / 2, 0.7) for i in range(3)]
+    x = plain_rake(n, [g for g, _ in made], lambda c: any(c[i] in full for i, (_, full) in enumerate(made)), 30)
+    for i, (goal, _) in enumerate(made):  # the margins hold
+        for level, want in goal.items():
+            assert abs(sum(v for c, v in x.items() if c[i] == level) - want) < 1e-4 * sum(n.values())
+    got = mixing.op2_mix(spark, at).collect()
+    assert {r.doc_id: (r.source, r.lang, r.topic, r.tokens) for r in got} == rows_
+    for r in got:
+        want = x[r.source, r.lang, r.topic] / n[r.source, r.lang, r.topic] if r.tokens else 1.0
+        assert abs(r.probability - want) < 1e-3 and (r.kept == (units[r.doc_id] < r.probability) or abs(units[r.doc_id] - r.probability) < 1e-6)
+
+
+def test_mix_of_awkward_rows(spark, docs):
+    got, names, n, p, kept = mixing.mix(extra(docs), {"source": F.col("source"), "lang": F.col("lang")}, mixing.tokens(F.col("text")), F.col("doc_id"))
+    found = got.collect()
+    assert len(found) == len(AWKWARD) and all(0 <= r[p] <= 1 for r in found) and all(r[p] == 1 and r[kept] for r in found if not r[n])
+    assert len({(r[p], r[kept]) for r in found if r.doc_id == 5}) == 1 and all(r[names[1]] == mixing.NONE for r in found if r.lang is None)
 
 
 def test_mix_draws_near_its_budget_and_alike(spark):
@@ -118,6 +176,7 @@ PAGES = {
     "<article><header><h1>Title</h1></header><p>Text one.</p><script>var a='</p>';if(a<b){}</script><form><input value=1>Name <button>Go</button></form><p>Text two.</p><div class=\"ad\">Buy, now, cheap</div></article><div class=ad>Ad, with, many, commas, to, score, points</div>": "Title Text one. Text two.",
     "<article><h1>A</h1><div><p>Long, part, with, many, commas, that, wins, the, score, by, far, and, so, on.</p></div><ul><li>tail</ul></article>": "A Long, part, with, many, commas, that, wins, the, score, by, far, and, so, on. tail",
     "just text &lt;here&gt;": "just text <here>", "": "", None: "", "<p>": "", "<!-- only --><script>x</script>": "", "<p>a<p>b<div>c</div>d": "a b c d", '<p title="a>b">q</p>': "q", "<p>un<i>closed<p>next": "unclosed next",
+    "<p>x &am<i>p;</i> y &am<!-- -->p;</p>": "x &amp; y &amp;", "<p><![CDATA[&lt;b&gt;]]> &lt;b&gt;</p>": "&lt;b&gt; <b>",
 }
 
 
@@ -251,22 +310,99 @@ def test_langid_code_lengths_equal_a_plain_model():
             assert abs(model.bits([b"qq", text])[1][model.langs.index(lang)] - want) < 1e-3
 
 
+def test_langid_letters_are_those_of_unicode(spark):
+    data = [(1, "½ ² Ⅷ ٣", "en", "a", 1), (2, "ª", "en", "a", 1), (3, "plain words of a text", "en", "a", 1), (6, "plain words", "en", "a", 1)]
+    df = spark.createDataFrame(data, DOCS)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, langid.learn(df)).collect()}
+    assert got[1] == "und" and got[2] == got[3] == "en"
+
+
+def test_langid_sample_is_bounded(spark):
+    data = [(i, f"text {i} " * 50, "en" if i % 3 else "de", "a", 1) for i in range(200)] + [(1000, "x" * 5000, "fr", "a", 1)]
+    df = spark.createDataFrame(data, DOCS).repartition(4)
+    seen = {}
+    keep, langid.train = langid.train, lambda samples: seen.update(samples)
+    try:
+        langid.learn(df, 20, 2000)
+    finally:
+        langid.train = keep
+    assert sorted(seen) == ["de", "en", "fr"] and all(len(v) <= 20 and sum(map(len, v[:-1])) < 2000 for v in seen.values()) and len(seen["fr"][0]) == 2000
+
+
+def test_queries_run_where_workers_have_no_package(tmp_path):
+    """Another folder, and only the driver knows where the package is."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from ledgerloom.llm.queries import QUERIES
+for f in QUERIES.values():
+    f(s, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+assert s.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+print("all run")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    if "PYTHONPATH" in os.environ:
+        env["PYTHONPATH"] = os.pathsep.join(p for p in os.environ["PYTHONPATH"].split(os.pathsep) if os.path.abspath(p or ".") != root)
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert "all run" in got.stdout, got.stderr[-3000:]
+
+
 # --- URLs ---
 
 
 def test_url_parts_and_rules(spark):
     cases = [("HTTP://A.Example.COM/en/7x?q#z", "a.example.com", "/en/7x", "example.com/en/7", "allow"), ("http://example.com/en/8", "example.com", "/en/8", "com/en/", "block"), ("https://x.example.net/de/81", "x.example.net", "/de/81", "example.net/de/8", "block"), ("a://notexample.net/de/8", "notexample.net", "/de/8", "net/de/", "allow"),
              ("x://org/es/", "org", "/es/", "org/es/", "block"), (None, "", "", None, "allow"), ("no scheme/en/", "", "", None, "allow"), ("", "", "", None, "allow"), ("a://h?x/en/", "h", "", None, None), ("a\nb://H\n/p\nq?z", "h\n", "/p\nq", None, None), ("http://casino-bets.example.org/fr/1", "casino-bets.example.org", "/fr/1", None, "block"), ("http://www.greenfield-school.example.org/fr/1", "www.greenfield-school.example.org", "/fr/1", None, "allow")]
-    got = urls.judge(extra(spark.createDataFrame([(c[0],) for c in cases], "url string")), "url", urls.RULES, urls.train(urls.labelled())).collect()
+    got = urls.judge(extra(spark.createDataFrame([(c[0],) for c in cases], "url string")), "url", urls.RULES, urls.trained()).collect()
     for want, r in zip(cases, got):
         assert (r.host_, r.path, r.rule) == want[1:4] and (want[4] is None or r.verdict == want[4]), want
 
 
-def test_url_model_on_unseen_hosts():
+def test_url_model_on_unseen_words():
+    """No word of a held-out host is in a training host: what is left to learn from are parts of words and paths."""
     rows_ = urls.labelled()
-    w = urls.train([r for i, r in enumerate(rows_) if i % 5])
-    held = [r for i, r in enumerate(rows_) if not i % 5]
-    assert np.mean([(urls.chance(h, p, w) >= 0.5) == bool(y) for h, p, y in held]) > 0.9
+    words = [set(re.findall("[a-z]+", h.split(".example")[0])) - {"www", "m", "blog", "online", "free"} for h, _, _ in rows_]
+    right, wrongly, blocked_ = [], [], []
+    for fold in range(5):
+        out = [i for i in range(len(rows_)) if i % 5 == fold]
+        seen = set().union(*(words[i] for i in out))
+        w = urls.train([r for i, r in enumerate(rows_) if i % 5 != fold and not words[i] & seen])
+        got = urls.chances([rows_[i][0] for i in out], [rows_[i][1] for i in out], w) >= 0.5
+        y = np.array([rows_[i][2] for i in out], bool)
+        right += (got == y).tolist()
+        wrongly += got[~y].tolist()
+        blocked_ += got[y].tolist()
+    print(np.mean(right), np.mean(wrongly), np.mean(blocked_))
+    assert np.mean(right) > 0.6 and np.mean(wrongly) < 0.3  # README has the figures: unseen words tell little
+    w = urls.trained()
+    assert np.mean((urls.chances([r[0] for r in rows_], [r[1] for r in rows_], w) >= 0.5) == [r[2] for r in rows_]) > 0.99
+
+
+def test_url_chances_equal_a_plain_regression():
+    w = urls.trained()
+
+    def plain(host, path):
+        found = set()
+        for text, mark in ((f"\x02{host}\x03" if host else "", 0), (f"\x04{path}\x05" if path else "", 1)):
+            raw = re.sub(r"\d+", "0", text).encode()
+            for n in urls.GRAMS:
+                for i in range(len(raw) - n + 1):
+                    h = n
+                    for x in raw[i : i + n]:
+                        h = (h * 0x100000001B3 + x + 1) % 2**64
+                    found.add(int(substrings.mix(np.array([(h * 2 + mark) % 2**64], np.uint64))[0]) >> 48)
+        z = sum(w[i] for i in found) / max(1, len(found)) ** 0.5 + w[-1]
+        return 1 / (1 + np.exp(-z)) if found else 0.0
+
+    cases = [("casino.example.org", "/a/12"), ("", ""), ("é.example", ""), ("", "/x"), ("a" * 20_000, "/b" * 20_000), ("h", "/")]
+    assert np.allclose(urls.chances([c[0] for c in cases], [c[1] for c in cases], w), [plain(*c) for c in cases])
 
 
 # --- media ---
@@ -297,6 +433,46 @@ def test_media_unknown_sizes_groups_and_broken_files(spark):
     assert [(r.id, r.lacing.split(":")[0]) for r in got] == [(1, "none"), (1, "none"), (3, "error")]
 
 
+def test_media_times_of_laced_packets():
+    m = media.parse(media.write(bytes(range(256)) * 64))
+    assert [p[1] for p in m.packets] == [256 * i for i in range(8)]
+    flags, body = media.laced([b"abcd", b"efgh", b"ijkl"], "fixed")
+    block = b"\x81\0\5" + bytes([flags]) + body
+    track = lambda *more: media.element(media.TRACKS, media.element(media.ENTRY, media.uint(media.NUMBER, 1), *more))
+    pcm = media.element(media.CODEC, b"A_PCM/INT/LIT"), media.element(media.AUDIO, media.element(media.RATE, bytes.fromhex("45fa0000")), media.uint(media.CHANNELS, 1), media.uint(media.DEPTH, 16))
+    for tracks, group, want in ((track(), [media.uint(media.BLOCK_DURATION, 30)], [15, 25, 35]), (track(media.uint(media.EACH, 7_000_000)), [], [15, 22, 29]), (track(*pcm), [], [15, 15, 15]), (b"", [], [15, 15, 15])):
+        cluster = media.element(media.CLUSTER, media.uint(media.TIMESTAMP, 10), media.element(media.BLOCK_GROUP, media.element(media.BLOCK, block), *group))
+        assert [p[1] for p in media.parse(media.element(media.SEGMENT, tracks, cluster)).packets] == want
+
+
+@pytest.mark.parametrize("kind,body", [(0x06, b"\x03\x85" + b"\x80" + b"\xbf" + b"x" * 100), (0x04, b"\x02" + b"x" * 10), (0x02, b"\x01\xff\xff\x10" + b"x" * 9), (0x06, b"\x02\x85\x00" + b"x" * 20)])
+def test_media_broken_laces(kind, body):
+    block = b"\x81\0\0" + bytes([kind]) + body
+    with pytest.raises(ValueError):
+        media.frames(block, 0, len(block))
+
+
+def test_media_query_equals_its_parts(spark, docs, tmp_path):
+    at = str(tmp_path)
+    extra(docs).write.parquet(f"{at}/documents.parquet")
+    want = []
+    for d, text, *_ in AWKWARD:
+        raw = (text or "").encode()
+        payload = raw + bytes(-len(raw) % 64) if raw else bytes(64)
+        data = media.write(payload)
+        n = -(-len(payload) // 2048)
+        stored = [-(-min(8192, len(payload) - b) // 2048) for b in range(0, len(payload), 8192)]  # packets of each block
+        clusters = -(-len(payload) // 65536)
+        kinds = dict.fromkeys(("none", "xiph", "fixed", "ebml"), 0)
+        for i, k in enumerate(stored):
+            even = k == 1 or (min(8192, len(payload) - 8192 * i) % 2048) == 0
+            kinds["none" if k == 1 else "fixed" if even else "ebml" if i % 2 else "xiph"] += k
+        feature = f"tracks=1;clusters={clusters};cues={clusters};packets={n};{','.join(f'{k}{v}' for k, v in kinds.items())};last={(n - 1) * 256};ms={len(payload) // 8};mean={sum(payload) // len(payload)}"
+        want.append((d or 0, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+    got = media.op7_media(spark, at).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in got) == sorted(want)
+
+
 # --- substrings ---
 
 
@@ -431,13 +607,13 @@ def test_near_dedup_keeps_distinct_texts_of_one_id_and_dedups_without_id(spark):
 # --- top-k ---
 
 
-@pytest.mark.parametrize("queries,candidates", [(512, 4096), (3, 7)])
-def test_top_k_equals_brute_force(spark, queries, candidates):
+@pytest.mark.parametrize("query_bytes,candidates", [(topk.QUERY_BYTES, 4096), (300, 7)])
+def test_top_k_equals_brute_force(spark, query_bytes, candidates):
     rng = np.random.default_rng(7)
     vectors = [(int(i), [float(x) for x in np.round(rng.normal(size=int(rng.integers(0, 6))), 2)]) for i in range(0, 300, 3)]
     vectors += [(1, None), (2, [1.0, None]), (4, [float("nan")]), (5, [float("inf")]), (700, [0.0, 0.0]), (750, [1e30, -1e30]), (751, [1e30, 1e30])]
     df = extra(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
-    got = rows(topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5, queries, candidates), "query_id", "rank", "id", "score")
+    got = rows(topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5, query_bytes, candidates), "query_id", "rank", "id", "score")
     ok = {i: [int(np.floor(256 * x)) if abs(x) < 1e15 else (2**63 - 1 if x > 0 else -(2**63)) for x in v] for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = []
     for q in sorted(i for i in ok if i % 50 == 0):
@@ -494,7 +670,11 @@ def test_pipeline_stages(spark, docs):
     assert clean.columns == docs.columns and clean.count() == docs.count()
     nine = next(r for r in clean.collect() if r.doc_id == 9)
     assert "password" not in nine.text and "AKIA" not in nine.text and nine.n_chars == len(nine.text)
+    found = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert found[9] == "de" and found[3] in ("en", "de") and found[7] in ("en", "de")  # a given language stays, a null one is found
     mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    placed = corpus_pipeline.pack_sequences(spark, extra(docs), "").collect()
+    assert sum(r.length for r in placed) == sum(len(brute_ids(r[1])) for r in AWKWARD)
     assert mixed.columns == docs.columns and 0 < mixed.count() <= docs.count()
 
 
