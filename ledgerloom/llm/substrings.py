@@ -301,21 +301,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, bl
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = marks(docs, window, cells, block_bytes)
     runs = window - (window + 1) // 2 + 1
-    one = found.groupBy("k1", "k2", "place").agg(F.bit_or("mask").alias("mask"))
-    by_doc = one.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))  # no longer than the document
+    by_doc = found.groupBy("k1", "k2").agg(F.collect_set(F.shiftleft(F.col("place").cast("long"), runs) + F.col("mask")).alias("marks"))  # no longer than the document
     text = F.coalesce("text", F.lit(""))
     both = docs.withColumns({"k1": F.xxhash64("doc_id", text), "k2": F.xxhash64(F.lit(1), text, "doc_id")}).join(by_doc, ["k1", "k2"], "left")
-    both = both.select("doc_id", "text", F.col("marks.place").alias("place"), F.col("marks.mask").alias("mask"))
+    both = both.select("doc_id", "text", "marks")
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batch, "text"):
             texts, n_words, n_removed, kept = as_bytes(b.column("text")), [], [], []
-            for text, at, m in zip(texts, b.column("place"), b.column("mask")):
+            for text, m in zip(texts, b.column("marks")):
                 words = text.split()
                 left = words
                 if m.is_valid:
-                    row, bit = np.nonzero(m.values.to_numpy()[:, None] >> np.arange(runs) & 1)
-                    starts = np.unique(at.values.to_numpy()[row] + bit)
+                    mine = m.values.to_numpy()
+                    row, bit = np.nonzero(mine[:, None] >> np.arange(runs) & 1)
+                    starts = np.unique((mine >> runs)[row] + bit)
                     gone = np.zeros(len(words) + 1, np.int64)
                     gone[starts] += 1
                     np.subtract.at(gone, starts + window, 1)
