@@ -71,3 +71,26 @@ def schema_name(file: Column, known: list[str]) -> Column:
 def first_object(text: Column) -> Column:
     """From the first { to the last }; null if there is none."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def head(text: Column, n: int = 3000) -> Column:
+    """The first characters, as a classifier is given them."""
+    return F.substring(text, 1, n)
+
+
+def tail(text: Column, n: int = 4000) -> Column:
+    """The last characters, as a log view shows them."""
+    return F.right(text, F.lit(n))
+
+
+def provider_label(known: Column, provider: Column, model: Column) -> Column:
+    """provider:model with a stand-in for what is missing; the default reader's name if nothing is known."""
+    own = F.concat(F.coalesce(provider, F.lit("unknown-provider")), F.lit(":"), F.coalesce(model, F.lit("unknown-model")))
+    return F.when(known, own).otherwise(F.lit("claude-cli"))  # fixed value
+
+
+def elapsed(seconds: Column) -> Column:
+    """Seconds as 12m 5s, or 5s below a minute; never below 0."""
+    s = F.greatest(F.lit(0), F.round(seconds)).cast("long")
+    m, rest = F.floor(s / 60).cast("string"), (s % 60).cast("string")
+    return F.when(s >= 60, F.concat(m, F.lit("m "), rest, F.lit("s"))).otherwise(F.concat(rest, F.lit("s")))

@@ -19,8 +19,9 @@ def classify_files(files: DataFrame, name: str, patterns: list[str] = TRUTH_PATT
 
 
 def assign_ids(files: DataFrame, case: str, name: str) -> DataFrame:
-    """files with document_id: DOC_nnn or GT_nnn in the order of names within a case and class."""
-    n = F.row_number().over(Window.partitionBy(case, "classification").orderBy(name))
+    """files with document_id: DOC_nnn or GT_nnn in the order of names within a case and class; carved parts (is_split) go on after whole files."""
+    order = [F.col("is_split").asc(), F.col(name)] if "is_split" in files.columns else [F.col(name)]
+    n = F.row_number().over(Window.partitionBy(case, "classification").orderBy(*order))
     return files.withColumn("document_id", F.format_string("%s_%03d", F.when(F.col("classification") == "ground_truth", "GT").otherwise("DOC"), n))
 
 
@@ -32,6 +33,35 @@ def parse_split(spec: Column) -> Column:
     return F.struct(F.nullif(part(1), F.lit("")).alias("file"), a.alias("start"), b.alias("end"), F.nullif(part(4), F.lit("")).alias("tier"), bad.alias("error"))
 
 
+def parse_splits(specs: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]:
+    """(file, start, end, tier) of good specs, and refused specs with `error`: form, range, or overlap with an earlier range of the file."""
+    got = specs.select(spec, parse_split(F.col(spec)).alias("_s")).select(spec, "_s.*")
+    good = got.filter("error IS NULL")
+    bad = overlapping(good, "file", "start", "end").withColumn("error", F.lit("overlap"))
+    refused = got.filter("error IS NOT NULL").unionByName(bad)
+    return good.join(bad.select("file").distinct(), "file", "left_anti").select("file", "start", "end", "tier"), refused.select(spec, "error")
+
+
+def split_name(stem: Column, start: Column, end: Column) -> Column:
+    """File name of a carved page range."""
+    return F.format_string("%s__p%03d-%03d.pdf", stem, start, end)
+
+
+def safe_id(name: Column) -> Column:
+    """Whether a name is safe as an id or part of a path: letters, digits and underscores alone."""
+    return F.coalesce(name.rlike(r"\A[A-Za-z0-9_]+\z"), F.lit(False))
+
+
+def listed(asked: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
+    """The asked rows whose file the ledger has."""
+    return asked.join(ledger, key, "left_semi")
+
+
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n) of ids that come more than once."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def overlapping(ranges: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Ranges that begin before an earlier one of their key has ended."""
     before = F.max(end).over(Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
@@ -45,11 +75,17 @@ def split_pages(pages: DataFrame, ranges: DataFrame, page: str) -> tuple[DataFra
 
 
 def ledger_gate(ledger: DataFrame, cases: DataFrame, case: str, item: str, status: str, approved: str, absent_clear: bool) -> DataFrame:
-    """(case, n, pending, rejected, clear): clear if all are approved. A case without a ledger is clear or not as absent_clear says."""
+    """(case, n, pending, rejected, clear): clear if all are approved; pending and rejected are numbers. A case without a ledger is clear or not as absent_clear says."""
     is_pending = F.coalesce(F.col(status), F.lit("pending")) == "pending"
-    names = lambda c: F.array_sort(F.collect_list(F.when(c, F.col(item))))
-    got = ledger.groupBy(case).agg(F.count("*").alias("n"), names(is_pending).alias("pending"), names(F.col(status) == "rejected").alias("rejected"), F.every(F.coalesce(F.col(status) == approved, F.lit(False))).alias("ok"))
-    return cases.select(case).distinct().join(got, case, "left").select(case, F.coalesce("n", F.lit(0)).alias("n"), "pending", "rejected", F.coalesce("ok", F.lit(absent_clear)).alias("clear"))
+    got = ledger.groupBy(case).agg(F.count("*").alias("n"), F.count_if(is_pending).alias("pending"), F.count_if(F.col(status) == "rejected").alias("rejected"), F.every(F.coalesce(F.col(status) == approved, F.lit(False))).alias("ok"))
+    none = F.lit(0).cast("long")
+    return cases.select(case).distinct().join(got, case, "left").select(case, *(F.coalesce(c, none).alias(c) for c in ("n", "pending", "rejected")), F.coalesce("ok", F.lit(absent_clear)).alias("clear"))
+
+
+def held_up_by(ledger: DataFrame, case: str, item: str, status: str) -> DataFrame:
+    """(case, item, why) of the entries that keep a gate shut: pending ones and rejected ones, a row each."""
+    why = F.coalesce(F.col(status), F.lit("pending"))
+    return ledger.select(case, item, why.alias("why")).filter(F.col("why").isin("pending", "rejected"))
 
 
 def ledger_drift(plan: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
@@ -72,10 +108,17 @@ def last_passed(events: DataFrame, case: str, stage: str, status: str, order: st
 
 
 def pair_waits(events: DataFrame, keys: list[str], kind: str, order: str, waiting: str, received: str) -> DataFrame:
-    """Each `received` event with the latest `waiting` one before it, if nothing was received since."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    """Each `received` event with the latest `waiting` one before it that is still open (`waited_at`); one without any is left out.
+
+    Waiting events raise a level and received ones lower it; those that cross one level take turns, so the event before a received
+    one on its level is the waiting one that it closes.
+    """
     rows = events.filter(F.col(kind).isin(waiting, received))
-    return rows.withColumn("before", F.lag(kind).over(w)).withColumn("waited_at", F.lag(order).over(w)).filter((F.col(kind) == received) & (F.col("before") == waiting)).drop("before")
+    up = F.col(kind) == waiting
+    level = F.sum(F.when(up, 1).otherwise(-1)).over(Window.partitionBy(*keys).orderBy(order)) + F.when(up, 0).otherwise(1)
+    w = Window.partitionBy(*keys, "level").orderBy(order)
+    rows = rows.withColumn("level", level).withColumns({"before": F.lag(kind).over(w), "waited_at": F.lag(order).over(w)})
+    return rows.filter(~up & (F.col("before") == waiting)).drop("before", "level")
 
 
 def first_writer(events: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -104,9 +147,12 @@ def next_case(ids: DataFrame, column: str, width: int = 3) -> DataFrame:
     return ids.agg(F.concat(F.lit("CASE_"), F.lpad(top.cast("string"), F.greatest(F.lit(width), F.length(top.cast("string"))), F.lit("0"))).alias("case_id"))
 
 
-def fork(contracts: DataFrame, source: str, target: str) -> DataFrame:
-    """The rows of one case again under another id; ids inside texts stay as they are."""
-    return contracts.filter(F.col("case_id") == source).withColumn("case_id", F.lit(target))
+def fork(contracts: DataFrame, source: str, target: str, locks: DataFrame | None = None) -> DataFrame:
+    """The rows of one case again under another id; ids inside texts stay as they are. A case with a lock (case_id) has none."""
+    got = contracts.filter(F.col("case_id") == source)
+    if locks is not None:
+        got = got.join(locks.select("case_id").distinct(), "case_id", "left_anti").select(contracts.columns)
+    return got.withColumn("case_id", F.lit(target))
 
 
 def scenarios(pages: DataFrame) -> DataFrame:

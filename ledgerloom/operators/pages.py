@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.codes import READABLE, REVIEWER_ROLES
 from ledgerloom.functions.text import marked, split_marked, strip
 
 
@@ -32,13 +33,14 @@ def number_chunks(pages: DataFrame, case: str, doc_pos: str, doc: str, page: str
 
 
 def compare_readings(a: Column, b: Column, verdict: Column) -> Column:
-    """agreed or disagreed: equal texts agree; else the verdict's words decide, disagreement first, and no word is disagreement."""
+    """agreed or disagreed: texts that are equal but for white space at their ends agree; else the verdict decides."""
     return F.when(strip(a) == strip(b), "agreed").otherwise(parse_verdict(verdict))
 
 
 def parse_verdict(verdict: Column) -> Column:
+    """Only the whole word AGREE, without the whole word DISAGREE, is agreement; anything else is disagreement, so doubt never passes."""
     v = F.upper(F.coalesce(verdict, F.lit("")))
-    return F.when(v.rlike(r"(?U)\bDISAGREE"), "disagreed").when(v.rlike(r"(?U)\bAGREE(D|MENT|S)?\b"), "agreed").otherwise("disagreed")
+    return F.when(v.rlike(r"(?U)\bDISAGREE\b"), "disagreed").when(v.rlike(r"(?U)\bAGREE\b"), "agreed").otherwise("disagreed")
 
 
 def parse_content_scan(verdict: Column) -> Column:
@@ -58,6 +60,44 @@ def ocr_rollup(pages: DataFrame, doc: str, page: str, agreement: str) -> DataFra
     )
 
 
+def assembled(pages: DataFrame, doc: str, page: str, agreement: str, text_path: Column) -> DataFrame:
+    """pages with what follows from their agreement: only an agreed page has a text path; a page that disagrees asks for a reviewer.
+
+    Without values of their own, extraction_method is dual_read and cross_validation_mode the weak one of two readers of a kind.
+    """
+    off = F.col(agreement) == "disagreed"
+    have = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in pages.columns else F.lit(default)
+    return pages.withColumns({
+        "text_path": F.when(~off, text_path), "ocr_quality": F.when(off, "low").otherwise("high"), "extraction_method": have("extraction_method", "dual_read"),
+        "cross_validation_mode": have("cross_validation_mode", "single_technology_weak_p8_poc"), "review_required": off,
+        "reviewer_role": F.when(off, REVIEWER_ROLES[0]), "review_reason": F.when(off, F.concat(F.lit("readings differ on page "), F.col(page).cast("string"))),
+    })
+
+
+def first_disagreed(pages: DataFrame, doc: str, page: str, agreement: str) -> DataFrame:
+    """(doc, page) of the first page in disagreement of each document that has one."""
+    return pages.filter(F.col(agreement) == "disagreed").groupBy(doc).agg(F.min(page).alias(page))
+
+
+def open_readings(open_pages: DataFrame, raw: DataFrame, keys: list[str]) -> DataFrame:
+    """open_pages (keys, text, ...) with both raw readings; a page that raw lacks shows its stored text as either."""
+    got = open_pages.join(raw.select(*keys, "reading_a", "reading_b"), keys, "left")
+    return got.withColumns({c: F.coalesce(c, "text") for c in ("reading_a", "reading_b")})
+
+
+def readable(documents: DataFrame, status: str = "cross_validation_status") -> Column:
+    """Whether a document's readings are settled, so that its text may be redacted."""
+    return F.coalesce(documents[status].isin(READABLE), F.lit(False))
+
+
+def covered(chunks: DataFrame, excluded: DataFrame, doc: str) -> DataFrame:
+    """(doc, error) where chunked and excluded documents contradict: `both`, or `twice` in the exclusions; (null, empty) if there are neither."""
+    one = excluded.groupBy(doc).agg(F.count("*").alias("n")).join(chunks.select(doc).distinct().withColumn("has", F.lit(True)), doc, "left")
+    wrong = one.select(doc, F.when(F.col("has"), "both").when(F.col("n") > 1, "twice").alias("error")).filter("error IS NOT NULL")
+    none = chunks.select(doc).union(excluded.select(doc)).limit(1).agg(F.count("*").alias("n")).filter("n = 0")
+    return wrong.union(none.select(F.lit(None).cast(excluded.schema[doc].dataType), F.lit("empty")))
+
+
 def resolve(pages: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
     """Pages (reading_a, reading_b, agreement) with decisions (chosen_reading) joined in: final text, and whether a page is still open."""
     got = pages.join(decisions, keys, "left")

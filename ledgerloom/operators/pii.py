@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.codes import INSTITUTIONS, NAME_CATEGORIES, PII, PLACEHOLDERS
 from ledgerloom.functions.text import fold_spaces, fold_widths, strip
+from ledgerloom.operators.pages import readable
+from ledgerloom.operators.reviews import redaction_rollup
 
 OFTEN = 20
 
@@ -56,11 +58,14 @@ def redact_spans(df: DataFrame, text: str, items: str) -> DataFrame:
     silent. A name before an institution's ending is left and ambiguous.
     """
     spaced = F.filter(F.col(items), lambda i: F.length(strip(F.coalesce(i["text"], F.lit("")))) > 0)
-    first = F.filter(spaced, lambda i, n: F.array_position(F.transform(spaced, lambda j: j["text"]), i["text"]) == n + 1)
-    by_length = F.array_sort(F.transform(first, lambda i, n: F.struct((-F.length(i["text"])).alias("l"), n.alias("n"), i["text"].alias("text"), F.coalesce(i["category"], F.lit("other_pii")).alias("category"))))
+    ordered = F.array_sort(F.transform(spaced, lambda i, n: F.struct((-F.length(i["text"])).alias("l"), i["text"].alias("text"), n.alias("n"), F.coalesce(i["category"], F.lit("other_pii")).alias("category"))))
+    # Sorted, equal texts are neighbours: the first of each is the one seen first.
+    first = F.filter(ordered, lambda i, n: F.when(n == 0, True).otherwise(F.get(ordered, n - 1)["text"] != i["text"]))
+    by_length = F.array_sort(F.transform(first, lambda i: F.struct(i["l"], i["n"], i["text"], i["category"])))
     row = "array<struct<text:string,category:string,count:int>>"
     none = F.array().cast(row)
     init = F.struct(F.col(text).alias("text"), none.alias("applied"), none.alias("unmatched"), none.alias("ambiguous"))
+    # Fixed value: a name before up to ten letters and an institution's ending is part of the institution's name.
     ending = "(?![가-힣]{0,10}(?:" + "|".join(INSTITUTIONS) + "))"
 
     def step(acc, i):
@@ -100,7 +105,41 @@ def built_from_source(source: Column, redacted: Column) -> Column:
 
 
 def redact_kind(text: Column, kind: str, category: str) -> Column:
-    return F.regexp_replace(text, f"(?U){PII[kind]}", PLACEHOLDERS[category].replace("$", "\\$"))
+    """Every match of the kind replaced by the category's placeholder; a text that cannot hold one is left alone."""
+    return F.when(may_hold(text, kind), F.regexp_replace(text, f"(?U){PII[kind]}", PLACEHOLDERS[category].replace("$", "\\$"))).otherwise(text)
+
+
+def redact_pages(pages: DataFrame, text: str, items: str) -> DataFrame:
+    """pages with redaction (see redact_spans), leak and warns.
+
+    A page leaks if a scan still finds something, if an item to redact is not in its text, or if what is left is not the source's own
+    words in order. A page warns if an item was left for being ambiguous.
+    """
+    got = redact_spans(pages, text, items)
+    r = F.col("redaction")
+    leak = leaks(r["text"]) | (F.size(r["unmatched"]) > 0) | ~built_from_source(F.col(text), r["text"])
+    return got.withColumns({"leak": F.coalesce(leak, F.lit(True)), "warns": F.size(r["ambiguous"]) > 0})
+
+
+def redact_documents(pages: DataFrame, documents: DataFrame, doc: str, page: str, text: str, items: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, redacted_text, items_redacted, categories, review_required) of documents that are fit, and (doc, error, pages) of the others.
+
+    A document whose readings are not settled (`status`), without a page (`pages`), or with any page that leaks (`leak`, with these
+    pages' numbers) is refused whole: no page of it comes out.
+    """
+    rows = pages.join(documents.filter(readable(documents)).select(doc), doc, "left_semi")
+    done = redact_pages(rows, text, items)
+    applied = F.col("redaction.applied")
+    done = done.select(
+        doc, page, F.col("redaction.text").alias("text"), F.aggregate(applied, F.lit(0).cast("long"), lambda n, a: n + a["count"]).alias("items"),
+        F.transform(applied, lambda a: a["category"]).alias("categories"), F.transform("redaction.ambiguous", lambda a: a["text"]).alias("warnings"), "leak",
+    )
+    state = done.groupBy(doc).agg(F.array_sort(F.collect_list(F.when(F.col("leak"), F.col(page)))).alias("pages"))
+    fit = state.filter(F.size("pages") == 0).select(doc)
+    got = redaction_rollup(done.join(fit, doc, "left_semi"), doc, page, "text", "items", "categories", "warnings")
+    error = F.when(~readable(documents), "status").when(F.col("pages").isNull(), "pages").when(F.size("pages") > 0, "leak")
+    refused = documents.join(state, doc, "left").select(doc, error.alias("error"), F.when(F.size("pages") > 0, F.col("pages")).alias("pages"))
+    return got, refused.filter("error IS NOT NULL")
 
 
 def gate(df: DataFrame, text: str, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -166,6 +166,11 @@ def codebook_drift(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 
+def accepts(name: Column, key: str, aliases: list[str]) -> Column:
+    """Whether a stage name is a stage's own or one of its aliases."""
+    return F.array_contains(F.array(*(stage_key(F.lit(n)) for n in [key, *aliases])), stage_key(name))
+
+
 def stage_key(name: Column) -> Column:
     """Stage names are the same whatever their case, hyphens, underscores and spaces."""
     return F.lower(F.regexp_replace(name, r"[-_\s]", ""))

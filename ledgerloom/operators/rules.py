@@ -61,12 +61,21 @@ def errors(v: Column, schema, registry: dict[str, dict] | None = None) -> Column
     return F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(found)
 
 
+KEYWORDS = set("$ref type enum const minimum maximum minLength pattern format required properties additionalProperties minItems maxItems items allOf anyOf not if then else".split())
+ANNOTATIONS = set("$schema $id $defs $comment comment title description default examples definitions".split())  # these check nothing
+CHECKED_FORMATS = ("date", "date-time")
+
+
 def _compile(n: Node, s, root, registry: dict, path: Column) -> Column:
     none = F.array().cast("array<string>")
     if s is True:
         return none
     if s is False:
         return F.array(F.concat_ws(": ", path, F.lit("false")))
+    if unknown := {k for k in set(s) - KEYWORDS - ANNOTATIONS if not k.startswith("x-")}:
+        raise ValueError(f"no rule is known for {', '.join(sorted(unknown))}")
+    if s.get("format", "date") not in CHECKED_FORMATS:
+        raise ValueError(f"no rule is known for the format {s['format']}")
     out: list[Column] = []
     here = lambda part: _compile(n, part, root, registry, path)
     child = lambda x, part, at: Node.bind(x, lambda c: _compile(c, part, root, registry, at))

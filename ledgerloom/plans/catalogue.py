@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def without_emails(text):
-    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, "[EMAIL]")).otherwise(text)
+    return pii.redact_kind(text, "email", "email")
 
 
 def turns(spark, sf) -> DataFrame:
@@ -80,8 +80,7 @@ def pii_digit_runs(spark, sf):
 
 @query(rf"SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS email FROM documents")
 def pii_email(spark, sf):
-    docs = table(spark, sf, "documents").filter(F.contains("text", F.lit("@")))
-    return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("email"))
+    return pii.scan(table(spark, sf, "documents"), "doc_id", "text", ["email"]).select("doc_id", F.col("sample").alias("email"))
 
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9])\(?[0-9]{2,3}\)?[-.\s]+[0-9]{3,4}[-.\s]+[0-9]{4}([^0-9]|$)')")
@@ -119,9 +118,12 @@ def redact_spans_full(spark, sf):
     return redacted(spark, sf).select("doc_id", total.alias("items_redacted"), kinds.alias("categories"), F.size(r["unmatched"]).alias("n_unmatched"), F.size(r["ambiguous"]).alias("n_ambiguous"), F.sha2(r["text"], 256).alias("digest"))
 
 
-@query("SELECT doc_id, true AS from_source FROM documents")
+@query("SELECT doc_id, doc_id % 3 <> 0 AND (doc_id % 3 <> 1 OR length(trim(text)) < 2) AS from_source FROM documents")
 def built_from_source(spark, sf):
-    return redacted(spark, sf).select("doc_id", pii.built_from_source(F.col("text"), F.col("redaction.text")).alias("from_source"))
+    """Redacted texts; every third has words of its own at the end, and of another third the whole comes twice."""
+    own, red = F.col("doc_id") % 3, F.col("redaction.text")
+    said = F.when(own == 0, F.concat(red, F.lit(" [EMAIL] words of nobody"))).when((own == 1) & (F.length(F.trim("text")) >= 2), F.concat(red, F.lit(" [EMAIL] "), F.col("text"))).otherwise(red)
+    return redacted(spark, sf).select("doc_id", pii.built_from_source(F.col("text"), said).alias("from_source"))
 
 
 @query(rf"""
@@ -135,13 +137,38 @@ def residual_leak_gate(spark, sf):
     return both.groupBy("lang").agg(F.count("*").alias("n"), F.sum("leak").alias("n_leaking"))
 
 
-@query()
+@query("""
+SELECT lang, 'CHUNK_' || row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS chunk_id, doc_id AS document_id, CASE WHEN regexp_matches(text, '[0-9]|@') THEN 0 ELSE length(text) END AS n_chars FROM documents
+""")
 def flagship_redact_gate_chunk(spark, sf):
-    """Redact, drop documents that still leak, number the rest as chunks of their language, and count them."""
-    docs = redacted(spark, sf).select("doc_id", "lang", F.col("redaction.text").alias("text"))
+    """Redact, drop documents that still leak (none does), number the rest as chunks of their language; n_chars where nothing can be redacted, else 0."""
+    n = F.when(F.col("text").rlike("[0-9]|@"), 0).otherwise(F.length("redaction.text")).cast("long")
+    docs = redacted(spark, sf).select("doc_id", "lang", F.col("redaction.text").alias("text"), n.alias("n_chars"))
     clean, _ = pii.gate(docs, "text")
-    chunks = pages.number_chunks(clean.withColumns({"pos": F.col("doc_id"), "page": F.lit(1)}), "lang", "pos", "doc_id", "page", "text")
-    return chunks.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+    rows = clean.select("lang", "doc_id", "n_chars").withColumns({"pos": F.col("doc_id"), "page": F.lit(1)})  # texts are not numbered along
+    chunks = pages.number_chunks(rows, "lang", "pos", "doc_id", "page", "n_chars")
+    return chunks.select("lang", "chunk_id", "document_id", F.col("text").alias("n_chars"))
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn + 1 AS page, text || ' a' || conv_id || '.' || turn || '@b.co, a' || conv_id || '.' || turn || '@b.co' AS t, conv_id % 13 = 0 AND turn = 1 AS leak FROM conversations)
+SELECT conv_id, CASE WHEN conv_id % 17 = 0 THEN 'status' WHEN bool_or(leak) THEN 'leak' ELSE 'ok' END AS outcome,
+  CASE WHEN conv_id % 17 <> 0 AND bool_or(leak) THEN '2' END AS pages, CASE WHEN conv_id % 17 <> 0 AND NOT bool_or(leak) THEN 2 * count(*) ELSE 0 END AS items_redacted,
+  CASE WHEN conv_id % 17 <> 0 AND NOT bool_or(leak) THEN sha256(string_agg('<<<PAGE page=' || page || '>>>' || chr(10) || regexp_replace(t, 'a[0-9.]+@b.co', '[EMAIL]', 'g'), chr(10) ORDER BY page) || chr(10)) END AS digest
+FROM p GROUP BY conv_id
+""")
+def redact_documents(spark, sf):
+    """Pages with an address twice; of every thirteenth conversation one page's address is not listed, and all of its pages are refused."""
+    address = F.concat(F.lit("a"), F.col("conv_id").cast("string"), F.lit("."), (F.col("page") - 1).cast("string"), F.lit("@b.co"))
+    rows = turns(spark, sf).withColumn("text", F.concat_ws("", "text", F.lit(" "), address, F.lit(", "), address))
+    item = F.array(F.struct(address.alias("text"), F.lit("email").alias("category")))
+    rows = rows.withColumn("items", F.when((F.col("conv_id") % 13 == 0) & (F.col("page") == 2), F.slice(item, 1, 0)).otherwise(item))
+    state = F.when(F.col("conv_id") % 17 == 0, "disagreed_pending_review").when(F.col("conv_id") % 2 == 0, "agreed").otherwise("disagreed_resolved")
+    docs = rows.select("conv_id").distinct().withColumn("cross_validation_status", state)
+    good, refused = pii.redact_documents(rows, docs, "conv_id", "page", "text", "items")
+    none = lambda kind: F.lit(None).cast(kind)
+    fit = good.select("conv_id", F.lit("ok").alias("outcome"), none("string").alias("pages"), "items_redacted", F.sha2("redacted_text", 256).alias("digest"))
+    return fit.union(refused.select("conv_id", "error", F.array_join("pages", ","), F.lit(0).cast("long"), none("string")))
 
 
 @query(r"""
@@ -179,12 +206,12 @@ def dual_read_agreement(spark, sf):
     return got.select("document_id", "pages", "n_disagreed", F.array_join("disagreed_pages", ",").alias("disagreed_pages"), "ocr_status")
 
 
-VERDICTS = ["AGREE", "agree.", "DISAGREE", "They DISAGREE; not AGREE", "unclear", "", "AGREEMENT", "MISAGREE"]
+VERDICTS = ["AGREE", "agree.", "DISAGREE", "They DISAGREE; not AGREE", "unclear", "", "no AGREEMENT", "MISAGREE", "AGREED", "AGREES", "they agree: DISAGREEMENT is nowhere"]
 
 
-@query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'agreed' WHEN 1 THEN 'agreed' WHEN 6 THEN 'agreed' ELSE 'disagreed' END AS verdict, CASE WHEN doc_id % 3 = 1 THEN 'clear' ELSE 'flagged' END AS scan FROM documents")
+@query("SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN 'agreed' WHEN 1 THEN 'agreed' WHEN 10 THEN 'agreed' ELSE 'disagreed' END AS verdict, CASE WHEN doc_id % 3 = 1 THEN 'clear' ELSE 'flagged' END AS scan FROM documents")
 def verdict_parse(spark, sf):
-    said = F.element_at(F.array(*map(F.lit, VERDICTS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    said = F.element_at(F.array(*map(F.lit, VERDICTS)), (F.col("doc_id") % 11 + 1).cast("int"))
     scan = F.element_at(F.array(*map(F.lit, ["CLEAR but FLAGGED", "clear", "???"])), (F.col("doc_id") % 3 + 1).cast("int"))
     return table(spark, sf, "documents").select("doc_id", pages.parse_verdict(said).alias("verdict"), pages.parse_content_scan(scan).alias("scan"))
 
@@ -202,11 +229,12 @@ def resolve_disagreement(spark, sf):
 
 
 @query(r"""
-WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), p AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM benchmark)
-SELECT doc_id, item_id FROM n JOIN p ON contains(t, s)
+WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, list_transform(regexp_split_to_array(text, '\r\n|[\n\r]'), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))) AS ls FROM documents),
+p AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM benchmark)
+SELECT doc_id, item_id, CAST(coalesce(list_position(list_transform(ls, lambda l: contains(l, s)), true), 0) AS BIGINT) AS line FROM n JOIN p ON contains(t, s)
 """)
 def forbidden_phrase_hits(spark, sf):
-    return reports.phrase_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
+    return reports.phrase_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text").withColumn("line", F.coalesce("line", F.lit(0).cast("long")))
 
 
 @query("""
@@ -246,11 +274,11 @@ def template_conformance(spark, sf):
     return got.select("conv_id", reports.conforms(F.col("heads"), want).alias("exact"), reports.conforms(F.col("heads"), want, extra=True).alias("subsequence"))
 
 
-@query("SELECT conv_id, turn + 1 AS section, role AS heading, CAST(2 AS BIGINT) AS n_lines FROM conversations")
+@query("SELECT conv_id, turn + 1 AS section, role AS heading, CAST(2 AS BIGINT) AS n_lines, 'line one' || chr(10) || 'line two' AS body FROM conversations")
 def markdown_sections(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), F.col("role"), F.lit("\nline one\n\nline two")).alias("t"))
     text = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "\n").alias("text"))
-    return reports.sections(text.withColumn("text", F.concat(F.lit("preface\n"), F.col("text"))), "conv_id", "text").select("conv_id", "section", "heading", "n_lines")
+    return reports.sections(text.withColumn("text", F.concat(F.lit("preface\n"), F.col("text"))), "conv_id", "text").select("conv_id", "section", "heading", "n_lines", "body")
 
 
 @query("""
@@ -300,7 +328,20 @@ FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source
 def ledger_clear(spark, sf):
     rows = ledger(spark, sf)
     got = cases.ledger_gate(rows, rows.select("source"), "source", "doc_id", "status", "approved", absent_clear=False)
-    return got.select("source", "n", F.size("pending").cast("long").alias("n_pending"), F.size("rejected").cast("long").alias("n_rejected"), "clear")
+    return got.select("source", "n", F.col("pending").alias("n_pending"), F.col("rejected").alias("n_rejected"), "clear")
+
+
+@query(f"SELECT source, doc_id, {REVIEW} AS why FROM documents d LEFT JOIN labels l USING (doc_id) WHERE {REVIEW} <> 'approved'")
+def ledger_waits(spark, sf):
+    return cases.held_up_by(ledger(spark, sf), "source", "doc_id", "status")
+
+
+@query("SELECT lang, bool_and(doc_id % 2 = 0) AND bool_or(doc_id % 2 = 0) IS TRUE AS clear FROM (SELECT DISTINCT lang FROM documents) x LEFT JOIN (SELECT lang, doc_id FROM documents JOIN labels USING (doc_id) WHERE lang <> 'en') y USING (lang) GROUP BY lang HAVING lang <> 'en' UNION ALL SELECT 'en', true")
+def conflicts_clear(spark, sf):
+    """Conflicts of languages: one without any is clear."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    rows = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id").filter("lang <> 'en'").withColumn("verdict", F.when(F.col("doc_id") % 2 == 0, "resolved").otherwise("pending"))
+    return cases.ledger_gate(rows, docs, "lang", "doc_id", "verdict", "resolved", absent_clear=True).select("lang", "clear")
 
 
 @query("""
@@ -353,8 +394,8 @@ def last_passed_stage(spark, sf):
     return cases.last_passed(log(spark, sf), "user_id", "stage", "status", "event_id")
 
 
-@query(LOG + """, w AS (SELECT user_id, event_id, event_type, lag(event_type) OVER p AS before, lag(event_id) OVER p AS waited_at FROM e WHERE event_type IN ('signup', 'purchase') WINDOW p AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id, event_id, waited_at FROM w WHERE event_type = 'purchase' AND before = 'signup'""")
+@query(LOG + """, w AS (SELECT user_id, event_id, event_type, sum(CASE event_type WHEN 'signup' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM e WHERE event_type IN ('signup', 'purchase'))
+SELECT r.user_id, r.event_id, max(o.event_id) AS waited_at FROM w r JOIN w o ON o.user_id = r.user_id AND o.event_type = 'signup' AND o.event_id < r.event_id AND o.s = r.s + 1 WHERE r.event_type = 'purchase' GROUP BY 1, 2""")
 def human_wait_pairing(spark, sf):
     rows = table(spark, sf, "events").select("user_id", "event_id", "event_type")
     return cases.pair_waits(rows, ["user_id"], "event_type", "event_id", "signup", "purchase").select("user_id", "event_id", "waited_at")
@@ -365,19 +406,28 @@ def lock_first_writer(spark, sf):
     return cases.first_writer(table(spark, sf, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
 
 
-@query(LOG + ", f AS (" + FOLD + f"""), g AS (SELECT CAST(substr(source, 4) AS BIGINT) AS s, count(*) FILTER (WHERE {REVIEW} = 'rejected') AS rejected, count(*) FILTER (WHERE {REVIEW} = 'pending') AS pending
-  FROM documents d LEFT JOIN labels l USING (doc_id) WHERE doc_id % 40 = 0 GROUP BY 1)
-SELECT user_id, stage, CASE WHEN rejected > 0 OR pending > 0 THEN 'paused' WHEN f.status = 'failed' AND attempt_count >= 3 THEN 'halted' ELSE f.status END AS status,
-  CASE WHEN rejected > 0 OR pending > 0 THEN 'D2' WHEN f.status = 'failed' AND attempt_count >= 3 THEN 'P9' END AS rule
-FROM f LEFT JOIN g ON s = user_id % 20
+@query(LOG + ", f AS (" + FOLD + """), r AS (SELECT d.doc_id AS user_id, d.lang, count(*) FILTER (WHERE l.quality = 0) AS rejected, count(*) FILTER (WHERE l.quality IS NULL AND d.lang = 'de') AS pending FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1, 2),
+b AS (SELECT conv_id AS user_id, count(*) FILTER (WHERE turn >= 6) AS blocked FROM conversations GROUP BY 1),
+c AS (SELECT o_custkey AS user_id, count(*) AS conflicts FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority LIKE '1%' GROUP BY 1),
+x AS (SELECT user_id, event_id, event_type, sum(CASE event_type WHEN 'signup' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM e WHERE event_type IN ('signup', 'purchase')),
+w AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'signup') - count(*) FILTER (WHERE m) AS waits FROM (SELECT *, event_type = 'purchase' AND EXISTS (SELECT 1 FROM x o WHERE o.user_id = x.user_id AND o.event_type = 'signup' AND o.event_id < x.event_id AND o.s = x.s + 1) AS m FROM x) GROUP BY 1),
+h AS (SELECT f.*, CASE WHEN rejected > 0 OR pending > 0 THEN 'D2' WHEN blocked > 0 THEN 'P8' WHEN conflicts > 0 THEN 'P6' WHEN waits > 8 THEN 'P7' WHEN f.status = 'failed' AND attempt_count >= 3 THEN 'P9' END AS rule FROM f LEFT JOIN r USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN c USING (user_id) LEFT JOIN w USING (user_id))
+SELECT user_id, stage, CASE WHEN rule IS NULL THEN status WHEN rule = 'P9' THEN 'halted' ELSE 'paused' END AS status, rule FROM h
 """)
 def stage_status_ladder(spark, sf):
-    """Stages of users, held up by the open reviews of the source that they read."""
+    """Stages of users, held up by the review of the document of their number, disagreeing pages, open conflicts, and people's inputs beyond eight that are waited for."""
     state = cases.fold_run_state(log(spark, sf).filter("status IS NOT NULL"), ["user_id", "stage"], "status", "event_id")
-    rows = ledger(spark, sf).filter(F.col("doc_id") % 40 == 0)
-    gate = rows.groupBy(F.substring("source", 4, 9).cast("long").alias("s")).agg(F.count_if(F.col("status") == "rejected").alias("rejected"), F.count_if(F.col("status").isNull()).alias("pending"))
-    got = state.join(gate, F.col("user_id") % 20 == F.col("s"), "left").withColumns({"blocked": F.lit(0), "conflicts": F.lit(0), "waits": F.lit(0)})
-    return got.select("user_id", "stage", cases.stage_status("status", "attempt_count", "rejected", "pending", "blocked", "conflicts", "waits").alias("x")).select("user_id", "stage", "x.status", "x.rule")
+    docs = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    review = docs.groupBy(F.col("doc_id").alias("user_id")).agg(F.count_if(F.col("quality") == 0).alias("rejected"), F.count_if(F.col("quality").isNull() & (F.col("lang") == "de")).alias("pending"))
+    blocked = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("user_id")).agg(F.count_if(F.col("turn") >= 6).alias("blocked"))
+    conflicts = table(spark, sf, "orders").filter("o_orderstatus = 'P' AND o_orderpriority LIKE '1%'").groupBy(F.col("o_custkey").cast("long").alias("user_id")).agg(F.count("*").alias("conflicts"))
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    received = cases.pair_waits(rows, ["user_id"], "event_type", "event_id", "signup", "purchase").groupBy("user_id").agg(F.count("*").alias("n"))
+    asked = rows.groupBy("user_id").agg(F.count_if(F.col("event_type") == "signup").alias("asked"))
+    waits = asked.join(received, "user_id", "left").select("user_id", (F.col("asked") - F.coalesce("n", F.lit(0)) - 8).alias("waits"))
+    for other in (review, blocked, conflicts, waits):
+        state = state.join(other, "user_id", "left")
+    return state.select("user_id", "stage", cases.stage_status("status", "attempt_count", "rejected", "pending", "blocked", "conflicts", "waits").alias("x")).select("user_id", "stage", "x.status", "x.rule")
 
 
 @query("SELECT lang, count(*) AS compared, CAST(sum(CASE WHEN (n_chars > 800) = (quality = 1) THEN 1 ELSE 0 END) AS BIGINT) AS matched, round(avg(CASE WHEN (n_chars > 800) = (quality = 1) THEN 1 ELSE 0 END), 2) AS score FROM documents JOIN labels USING (doc_id) GROUP BY lang")
@@ -430,7 +480,7 @@ SELECT doc_id, item_id, CAST(a AS BIGINT) AS start, CAST(a + n AS BIGINT) AS sto
 def quote_in_page(spark, sf):
     """Quotes by their place in a page, and whether they touch its uncertain region of characters 100 to 200."""
     quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
-    got = reports.containing(table(spark, sf, "documents").select("doc_id", "text"), "text", quotes, "quote")
+    got = reports.containing(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", quotes, "quote")
     a = F.call_function("instr", F.col("text"), F.col("quote")).cast("long") - 1
     got = got.select("doc_id", "item_id", a.alias("start"), (a + F.length("quote")).alias("stop"))
     return got.withColumn("review", (F.col("start") < 200) & (F.col("stop") > 100))
@@ -716,3 +766,154 @@ SELECT disposition, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN '
 def finding_dispositions(spark, sf):
     said = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("disposition"))
     return reviews.dispositions(table(spark, sf, "documents").select("doc_id"), said, ["doc_id"]).groupBy("disposition").agg(F.count("*").alias("n"))
+
+
+@query(DUAL + """
+SELECT doc_id, CASE WHEN agreement = 'agreed' THEN 'page_' || page || '.md' END AS text_path, CASE WHEN agreement = 'agreed' THEN 'high' ELSE 'low' END AS ocr_quality, CASE WHEN doc_id % 5 = 0 THEN 'embedded_text' ELSE 'dual_read' END AS extraction_method,
+  CASE WHEN agreement = 'disagreed' THEN 'readings differ on page ' || page END AS review_reason FROM r
+""")
+def assembled_pages(spark, sf):
+    rows = readings(spark, sf).withColumn("extraction_method", F.when(F.col("doc_id") % 5 == 0, "embedded_text"))
+    got = pages.assembled(rows, "document_id", "page", "agreement", F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit(".md")))
+    return got.select("doc_id", "text_path", "ocr_quality", "extraction_method", "review_reason")
+
+
+@query(DUAL + "SELECT document_id, min(page) AS page FROM r WHERE agreement = 'disagreed' GROUP BY document_id")
+def first_disagreed_page(spark, sf):
+    return pages.first_disagreed(readings(spark, sf), "document_id", "page", "agreement")
+
+
+@query(DUAL + """
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN length(text) ELSE 3 END AS a, CASE WHEN doc_id % 2 = 0 THEN length(text) + 2 ELSE 3 END AS b FROM r WHERE agreement = 'disagreed'
+""")
+def open_page_readings(spark, sf):
+    """Pages in disagreement with both readings; of odd ones these are lost, and the stored text stands for them."""
+    rows = readings(spark, sf)
+    raw = rows.filter("doc_id % 2 = 0").select("document_id", "page", "reading_a", "reading_b")
+    waits = rows.filter("agreement = 'disagreed'").select("doc_id", "document_id", "page", F.lit("old").alias("text"))
+    got = pages.open_readings(waits, raw, ["document_id", "page"])
+    return got.select("doc_id", F.length("reading_a").cast("long").alias("a"), F.length("reading_b").cast("long").alias("b"))
+
+
+@query(DUAL + "SELECT count(*) AS blocked_pages, count(DISTINCT document_id) AS blocked_documents FROM r WHERE agreement = 'disagreed'")
+def blocked_pages(spark, sf):
+    """Blocked pages over all documents."""
+    got = pages.ocr_rollup(readings(spark, sf), "document_id", "page", "agreement").filter("n_disagreed > 0")
+    return got.agg(F.coalesce(F.sum(F.size("disagreed_pages")), F.lit(0)).alias("blocked_pages"), F.count("*").alias("blocked_documents"))
+
+
+@query("""
+SELECT CAST(conv_id AS VARCHAR) AS document, CASE WHEN conv_id % 7 = 0 THEN 'both' ELSE 'twice' END AS error FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 7 = 0 OR conv_id % 11 = 0
+""")
+def chunk_contradictions(spark, sf):
+    """Of chunked documents some are excluded as well, and some exclusions come twice; a case with neither is an error of its own (tested)."""
+    ids = turns(spark, sf).select(F.col("conv_id").cast("string").alias("document"), "conv_id").distinct()
+    chunks = ids.filter("conv_id % 7 = 0 OR conv_id % 11 <> 0")
+    excluded = ids.filter("conv_id % 7 = 0").union(ids.filter("conv_id % 11 = 0 AND conv_id % 7 <> 0")).union(ids.filter("conv_id % 11 = 0 AND conv_id % 7 <> 0"))
+    return pages.covered(chunks, excluded, "document")
+
+
+@query("SELECT conv_id, turn + 1 AS tag, CASE WHEN turn % 2 = 0 THEN role END AS quote FROM conversations")
+def tagged_citations(spark, sf):
+    """Each tag of a report with its citation; every second citation is missing."""
+    rows = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role")
+    text = rows.groupBy("conv_id").agg(F.concat_ws(" ", F.collect_list(F.concat(F.lit("[E"), (F.col("turn") + 1).cast("string"), F.lit("]")))).alias("text"))
+    known = rows.filter("turn % 2 = 0").select("conv_id", (F.col("turn") + 1).alias("tag"), F.col("role").alias("quote"))
+    return reports.tagged(text, "conv_id", "text", known)
+
+
+@query("SELECT conv_id, turn AS section, turn + 1 AS first FROM conversations")
+def numbered_citations(spark, sf):
+    """The first tag of each section, by the window that numbers references."""
+    refs = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("section"), F.lit(0).alias("ref"))
+    got = reports.number_citations(refs, "conv_id", ["section", "ref"])
+    return got.select("conv_id", "section", F.regexp_extract("tag", r"\d+", 0).cast("long").alias("first"))
+
+
+@query("SELECT conv_id, count(*) AS section_count, 2 * count(*) AS evidence_tag_count FROM conversations GROUP BY conv_id")
+def draft_metadata(spark, sf):
+    """Sections and tags of rendered reports."""
+    got = render_citations(spark, sf)
+    counted = reports.sections(got.withColumnRenamed("report", "text"), "conv_id", "text").groupBy("conv_id").agg(F.count("*").alias("section_count"))
+    return counted.join(got.select("conv_id", F.size(reports.tags(F.col("report"))).cast("long").alias("evidence_tag_count")), "conv_id")
+
+
+@query("""
+SELECT p_partkey, s_suppkey, p_brand FROM part JOIN supplier ON s_nationkey = p_size WHERE p_size < 25
+""")
+def coverage_requirements(spark, sf):
+    """Coverages and requirements of one standardised name."""
+    coverages = table(spark, sf, "part").filter("p_size < 25").select("p_partkey", "p_brand", F.col("p_size").alias("name"))
+    requirements = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("name"))
+    return reports.by_name(coverages, requirements, "name").select("p_partkey", "s_suppkey", "p_brand")
+
+
+@query("SELECT event_id FROM events WHERE user_id IN (SELECT doc_id FROM labels)")
+def requests_on_ledger(spark, sf):
+    """Requests for files that the ledger has."""
+    asked = table(spark, sf, "events").select("event_id", F.col("user_id").alias("file"))
+    return cases.listed(asked, table(spark, sf, "labels").select(F.col("doc_id").alias("file")), "file").select("event_id")
+
+
+@query("SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def repeated_ids(spark, sf):
+    return cases.repeated(table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), ["id"])
+
+
+@query("SELECT doc_id, length(left(text, 3000)) AS head, length(right(text, 400)) AS tail, sha256(right(text, 400)) AS tail_digest FROM documents")
+def text_limits(spark, sf):
+    """The head that a classifier reads and the tail that a log view shows."""
+    text = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", F.length(tx.head(text)).cast("long").alias("head"), F.length(tx.tail(text, 400)).cast("long").alias("tail"), F.sha2(tx.tail(text, 400), 256).alias("tail_digest"))
+
+
+@query("SELECT event_id, event_type IN ('view', 'click') AS accepted FROM events")
+def accepted_stage_names(spark, sf):
+    """Stage names as written by others, against a stage's name and its aliases."""
+    odd = F.concat(F.upper(F.substring("event_type", 1, 2)), F.lit("-_ "), F.substring("event_type", 3, 99))
+    return table(spark, sf, "events").select("event_id", reviews.accepts(odd, "View", ["c-l-i-c-k"]).alias("accepted"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'claude-cli' WHEN 1 THEN 'unknown-provider:m' ELSE 'p:unknown-model' END AS label, CASE WHEN event_id >= 60 THEN (event_id // 60) || 'm ' || (event_id % 60) || 's' ELSE event_id || 's' END AS elapsed FROM events
+""")
+def run_labels(spark, sf):
+    """Labels of readers and of elapsed seconds."""
+    k = F.col("event_id") % 3
+    label = tx.provider_label(k != 0, F.when(k == 2, "p"), F.when(k == 1, "m"))
+    return table(spark, sf, "events").select("event_id", label.alias("label"), tx.elapsed(F.col("event_id")).alias("elapsed"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS safe FROM documents")
+def safe_ids(spark, sf):
+    name = F.concat(F.lit("CASE_"), F.col("doc_id").cast("string"), F.element_at(F.array(F.lit(""), F.lit("/.."), F.lit("\n")), (F.col("doc_id") % 3 + 1).cast("int")))
+    return table(spark, sf, "documents").select("doc_id", cases.safe_id(name).alias("safe"))
+
+
+@query("SELECT o_orderkey, 'CASE_9' AS case_id FROM orders WHERE o_custkey = 7 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'X')")
+def fork_case_unlocked(spark, sf):
+    """A fork looks at the locks first: another case's does not matter."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.concat(F.lit("CASE_"), F.col("o_custkey").cast("string")).alias("case_id"))
+    return cases.fork(rows.drop("o_orderstatus"), "CASE_7", "CASE_9", rows.filter("case_id <> 'CASE_7'"))
+
+
+@query("""
+SELECT spec, error FROM (VALUES ('a.pdf:9-8=raw', 'range'), ('a.pdf', 'form'), ('b.pdf:3-4=raw', 'overlap')) v(spec, error)
+UNION ALL SELECT file || ':' || a || '-' || b || '=raw', name FROM (VALUES ('a.pdf', 1, 2, 'a__p001-002.pdf'), ('x:y.pdf', 4, 13, 'x:y__p004-013.pdf')) w(file, a, b, name)
+""")
+def split_specs(spark, sf):
+    """Page ranges to carve: refused ones with the reason, good ones with the name of the new file."""
+    given = ["a.pdf:1-2=raw", "a.pdf:9-8=raw", "a.pdf", "b.pdf:1-3=raw", "b.pdf:3-4=raw", "x:y.pdf:4-13=raw"]
+    good, refused = cases.parse_splits(spark.createDataFrame([(g,) for g in given], "spec string"), "spec")
+    name = cases.split_name(F.regexp_replace("file", r"\.pdf$", ""), F.col("start"), F.col("end"))
+    spec = F.concat("file", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("="), "tier")
+    return refused.union(good.select(spec.alias("spec"), name.alias("error")))
+
+
+@query("""
+SELECT url, 'DOC_' || lpad(CAST(row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id % 4 = 0, url, page_id) AS VARCHAR), 3, '0') AS document_id FROM pages
+""")
+def split_id_sequence(spark, sf):
+    """Carved parts are numbered after the whole files of their case."""
+    files = table(spark, sf, "pages").select("url", (F.col("page_id") % 10).alias("case_id"), F.lit("raw").alias("classification"), F.struct("url", "page_id").alias("name"), (F.col("page_id") % 4 == 0).alias("is_split"))
+    return cases.assign_ids(files, "case_id", "name").select("url", "document_id")
