@@ -9,7 +9,7 @@ MARKER = r"(?dm)^<<<PAGE page=(\d+)>>>\n?"
 
 
 def fold_widths(text: Column) -> Column:
-    """Full-width digits, hyphen and full stop to ASCII."""
+    """Full-width digits, hyphen and full stop to ASCII (fixed values)."""
     return F.translate(text, "０１２３４５６７８９－．", "0123456789-.")
 
 

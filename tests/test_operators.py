@@ -17,7 +17,7 @@ def one(spark, column):
 
 
 LEAKS = [("900101-1234567", "resident_registration_number"), ("900101 -\n1234567", "resident_registration_number"), ("02-123-4567", "phone_number_separated"), ("(02) 123 4567", "phone_number_separated"), ("010-1234-\n5678", "phone_number_separated"), ("０１０－１２３４－５６７８", "phone_number_separated"), ("0212345678", "phone_number_contiguous"),
-         ("123-45-67890", "account_number_dashed"), ("홍hong@example.co.kr", "email"), ("서울12가3456", "vehicle_number"), ("12가 3456", "vehicle_number"), ("12345678901", "long_digit_run")]
+         ("123-45-67890", "account_number_dashed"), ("홍hong@example.co.kr", "email"), ("경기77나1203", "vehicle_number"), ("12가 3456", "vehicle_number"), ("12345678901", "long_digit_run")]
 CLEAN = ["2024-01-31", "1,234,567원", "I67.8", "제3조 제2항", "12개 1234", "1234567890", "2025.02.03 - 2025.02.28", "a @ b"]
 
 
@@ -138,7 +138,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {r.name for r in files.list_files(spark, str(at)).collect()} == {"a.json", "b.json", "k.txt", "page_007.md"}
     contracts = files.read_contracts(spark, str(at))
     assert {r.name: r.bad for r in contracts.select("name", F.col("data").isNull().alias("bad")).collect()} == {"a.json": False, "b.json": True}
-    valid, rejected = files.write_checked(contracts.select("name", "json"), "json", SCHEMA, str(tmp_path / "out"), OTHER)
+    valid, rejected = files.quarantine(contracts.select("name", "json"), "json", SCHEMA, str(tmp_path / "out"), OTHER)
     assert [spark.read.parquet(p).first().name for p in (valid, rejected)] == ["a.json", "b.json"]
     raw = spark.read.format("binaryFile").load(str(at / "k.txt")).select("content")
     assert files.decode_korean(raw, "content").select("text", "encoding").first() == ("보험금 청구", "cp949")
@@ -249,3 +249,92 @@ def test_types_of_replies(spark):
 def test_readers_of_one_kind(spark):
     got = one(spark, replies.reader_independence(F.lit("a"), F.lit(None).cast("string"), F.lit("a"), F.lit("n/a")))
     assert (got.mode, got.same_reader) == ("single_technology_weak_p8_poc", True)
+
+
+def test_writes_are_whole_or_nothing(spark, tmp_path):
+    at, log = str(tmp_path / "c" / "t"), str(tmp_path / "log")
+    good, bad = '{"k": 1}', '{"k": "x"}'
+    schema = {"type": "object", "properties": {"k": {"type": "integer"}}}
+    make = lambda *json: rows(spark, "name string, json string", *((str(i), j) for i, j in enumerate(json)))
+    assert files.write_checked(make(good, good), "json", schema, at).count() == 0 and spark.read.parquet(at).count() == 2
+    refused = files.write_stage(make(good, bad, good), "json", schema, at, log, {"case_id": "A", "stage": "s", "at": 1})
+    assert [r.name for r in refused.collect()] == ["1"] and spark.read.parquet(at).count() == 2 and not files.there(spark, log)
+    assert files.write_stage(make(good), "json", schema, at, log, {"case_id": "A", "stage": "s", "at": 2}).isEmpty()
+    assert spark.read.parquet(at).count() == 1 and spark.read.parquet(log).first().status == "passed"
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["t"]  # nothing staged is left
+
+
+def test_pages_are_partitioned_and_read_one_by_one(spark, tmp_path):
+    at = str(tmp_path / "pages")
+    files.write_pages(rows(spark, "case_id string, document_id string, page long, text string", ("A", "D1", 1, "x"), ("A", "D1", 2, "y"), ("B", "D1", 1, "z")), at)
+    assert sorted(p.name for p in (tmp_path / "pages").iterdir() if "=" in p.name) == ["case_id=A", "case_id=B"]
+    pages_ = files.read_or_empty(spark, at, "case_id string, document_id string, page long, text string")
+    assert [r.text for r in files.read_page(pages_, "A", "D1", 2).collect()] == ["y"] and files.read_page(pages_, "A", "D2", 1).isEmpty()
+    with pytest.raises(ValueError):
+        files.read_page(pages_, "A", "D1", 0)
+    assert files.read_or_empty(spark, str(tmp_path / "none"), "a long").count() == 0
+    files.write_text(rows(spark, "name string, text string, more int", ("draft", "t", 1)), str(tmp_path / "texts"))
+    assert spark.read.parquet(str(tmp_path / "texts")).columns == ["name", "text"]
+
+
+def test_directories_of_contracts_are_validated(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "c").mkdir()
+    (tmp_path / "s" / "base.schema.json").write_text('{"$defs": {"id": {"type": "string", "pattern": "^[A-Z]+$"}}}')
+    (tmp_path / "s" / "critic_result.schema.json").write_text('{"type": "object", "required": ["id"], "properties": {"id": {"$ref": "base.schema.json#/$defs/id"}}}')
+    for name, body in (("critic_result_v2.json", '{"id": "A"}'), ("critic_result_v1.json", '{"id": "a"}'), ("other.json", "{}"), ("critic_result.json", "{broken")):
+        (tmp_path / "c" / name).write_text(body)
+    known = files.read_schemas(spark, str(tmp_path / "s"))
+    got = files.validated(files.read_contracts(spark, str(tmp_path / "c")), known)
+    assert {r.name: (r.result, r.errors) for r in got.collect()} == {"critic_result_v2.json": ("PASS", []), "critic_result_v1.json": ("FAIL", ["$.id: pattern"]), "other.json": ("SKIP", []), "critic_result.json": ("FAIL", ["$: json"])}
+    assert files.exit_code(got) == 1 and files.exit_code(got.filter("result <> 'FAIL'")) == 0 and files.exit_code(got.filter("result = 'SKIP'")) == 2
+    with pytest.raises(ValueError):
+        files.exit_code(got.limit(0))
+    listed = files.list_files(spark, str(tmp_path / "c"))
+    assert [r.name for r in files.chosen(listed, ["other*", "*_v1.json"]).collect()] == ["critic_result_v1.json", "other.json"]
+    with pytest.raises(ValueError):
+        files.chosen(listed, ["*.pdf"])
+
+
+def test_unknown_schema_keywords_are_refused():
+    from ledgerloom.operators import rules
+
+    for schema in ({"minProperties": 1}, {"properties": {"a": {"format": "uri"}}}, {"items": {"uniqueItems": True}}):
+        with pytest.raises(ValueError):
+            rules.errors(F.lit(None).cast("variant"), schema)
+
+
+def test_waits_close_the_latest_open_one(spark):
+    kinds = "w w r r r w r"
+    events = rows(spark, "case_id string, kind string, at int", *(("a", k, i) for i, k in enumerate(kinds.split())), ("b", "r", 0), ("b", "w", 1))
+    got = cases.pair_waits(events, ["case_id"], "kind", "at", "w", "r")
+    assert sorted((r.at, r.waited_at) for r in got.collect()) == [(2, 1), (3, 0), (6, 5)]
+
+
+def test_an_empty_phrase_list_is_an_error(spark):
+    docs = rows(spark, "doc string, text string", ("a", "some text"))
+    for phrases in ([], [("p", " ")]):
+        with pytest.raises(ValueError):
+            reports.phrase_hits(docs, spark.createDataFrame(phrases, "id string, phrase string"), "doc", "text", "id", "phrase")
+
+
+def test_phrases_of_every_length_are_found(spark):
+    docs = rows(spark, "doc string, text string", ("a", "one two three four five"), ("b", "xone two three fourx"), ("c", "nothing\nhere"), ("d", None))
+    phrases = rows(spark, "id string, phrase string", ("long", "one two three four"), ("short", "three"), ("lines", "nothing here"))
+    got = reports.phrase_hits(docs, phrases, "doc", "text", "id", "phrase")
+    assert sorted((r.doc, r.id, r.line) for r in got.collect() if r.id != "lines") == [("a", "long", 1), ("a", "short", 1), ("b", "long", 1), ("b", "short", 1)]
+    assert [(r.doc, r.line) for r in got.collect() if r.id == "lines"] == [("c", None)]
+
+
+def test_a_case_without_chunks_and_exclusions_is_an_error(spark):
+    none = spark.createDataFrame([], "document string")
+    assert [(r.document, r.error) for r in pages.covered(none, none, "document").collect()] == [(None, "empty")]
+
+
+def test_one_leaking_page_refuses_its_document(spark):
+    items = "array<struct<text:string,category:string>>"
+    listed = rows(spark, f"doc string, page int, text string, items {items}", ("a", 1, "call a@b.co", [("a@b.co", "email")]), ("a", 2, "and c@d.co", []), ("b", 1, "x a@b.co", [("a@b.co", "email"), ("nobody", "person_name")]), ("c", 1, "fine a@b.co", [("a@b.co", "email")]), ("d", 1, "fine", []))
+    docs = rows(spark, "doc string, cross_validation_status string", *((d, "agreed") for d in "abc"), ("d", None), ("e", "disagreed_resolved"))
+    good, refused = pii.redact_documents(listed, docs, "doc", "page", "text", "items")
+    assert [(r.doc, r.redacted_text, r.items_redacted, r.categories) for r in good.collect()] == [("c", "<<<PAGE page=1>>>\nfine [EMAIL]\n", 1, ["email"])]
+    assert {r.doc: (r.error, r.pages) for r in refused.collect()} == {"a": ("leak", [2]), "b": ("leak", [1]), "d": ("status", None), "e": ("pages", None)}
