@@ -135,7 +135,10 @@ def words_of_worker(vocabulary: str) -> Words:
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and then `end`, cut every `capacity` ids. Null text: empty."""
+    """(doc_id, piece, start, length, ids_crc32, nth): each document's ids and then `end`, cut every `capacity` ids. Null text: empty.
+
+    nth counts a task's pieces: it tells rows apart that are alike, so that many of them need not meet in one place.
+    """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(vocabulary)
     tail = np.array([end], "<u4").tobytes()
@@ -144,7 +147,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = None
+        words, made = None, 0
         for b in (s for b in parts if b.num_rows for s in by_bytes(b, "text", 2 << 20)):
             words = words or words_of_worker(sent.value)
             rows: list[tuple[int, int, int, int]] = []
@@ -156,10 +159,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
                     rows.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
                     who.append(i)
             cols = list(zip(*rows))
-            yield pa.record_batch([b.column("doc_id").take(pa.array(who)), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.record_batch([b.column("doc_id").take(pa.array(who)), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:]), pa.array(np.arange(made, made + len(who)))], ["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
+            made += len(who)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, nth long")
 
 
 def plan_bins(lengths: dict[int, int], capacity: int = CAPACITY, documents: int | None = None, attention: int | None = None, rule: str = "norm", weight: tuple[float, float, float] = (1.0, 1e-3, 1e-3)) -> np.ndarray:
@@ -228,11 +232,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int =
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     sent = spark.sparkContext.broadcast(plan)
     # A piece's rank among those of its length: its place in a part of them, after all earlier parts.
-    dealt = made.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, sum(lengths.values()) // DEAL))))
+    dealt = made.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "nth"), F.lit(max(1, sum(lengths.values()) // DEAL))))
     counts = dealt.groupBy("length", "deal").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     base = counts.select("length", "deal", (before - F.col("count")).alias("base"))
-    place = F.row_number().over(Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "start", "ids_crc32"))
+    place = F.row_number().over(Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "start", "ids_crc32", "nth"))
     ranked = dealt.withColumn("place", place).join(base, ["length", "deal"]).withColumn("rank", F.col("place") - 1 + F.col("base"))
 
     def assign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
