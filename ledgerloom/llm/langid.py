@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import as_bytes, by_bytes, fresh, mapped
 
-ORDER, CONTEXTS, TRAIN_DOCS, TRAIN_BYTES, SLACK, UNKNOWN = 3, 3000, 300, 1_000_000, 256, "und"
+ORDER, CONTEXTS, TRAIN_DOCS, TRAIN_BYTES, LANGS, SLACK, UNKNOWN = 3, 3000, 300, 1_000_000, 400, 256, "und"
 
 
 @dataclass
@@ -127,20 +127,23 @@ def row_of(names: np.ndarray, order: int, kept: dict, offsets: np.ndarray, width
 def learn(docs: DataFrame, docs_of_lang: int = TRAIN_DOCS, bytes_of_lang: int = TRAIN_BYTES) -> Model | None:
     """Trains on a bounded sample of docs (doc_id, text, lang): of each language documents in the order of a hash of doc_id, at most
     docs_of_lang of them, as long as those before have fewer than bytes_of_lang characters; of a longer one its first
-    bytes_of_lang. Rows with a null id, text or lang teach nothing. Of repeated ids the shortest texts come first.
+    bytes_of_lang. Rows with a null id, text or lang teach nothing. Of repeated ids the shortest texts come first. Of more than LANGS
+    languages the most frequent are learned (ties: the first by name).
     """
+    spark = docs.sparkSession
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     by = F.xxhash64(F.col("doc_id").cast("string"))
     sizes = known.select("doc_id", "lang", by.alias("by"), F.length("text").alias("size"))
     # Twice as many as wanted lie below a bound on the hash, so a language that has most rows is not ranked in one task.
-    counts = sizes.groupBy("lang").agg(F.count("*").alias("n"))
+    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    counts = F.broadcast(spark.createDataFrame(top, "lang string, n long"))  # at most LANGS rows
     unit = F.shiftrightunsigned("by", 11) / F.lit(float(1 << 53))
     some = sizes.join(counts, "lang").filter(unit * F.col("n") < 2 * docs_of_lang + 20)
     order = Window.partitionBy("lang").orderBy("by", "doc_id", "size")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = some.withColumns({"place": F.row_number().over(order), "before": before}).filter((F.col("place") <= docs_of_lang) & (F.col("before") < bytes_of_lang))
     ids = first.groupBy("doc_id", "lang").agg(F.min("place").alias("place"))
-    rows = known.join(ids, ["doc_id", "lang"]).select("lang", "place", F.left("text", F.lit(bytes_of_lang)).alias("text")).collect()  # bounded for each language
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "place", F.left("text", F.lit(bytes_of_lang)).alias("text")).collect()  # at most docs_of_lang ids and about 2 * bytes_of_lang characters a language
     samples: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r.place, len(r.text), r.text)):
         mine = samples.setdefault(r.lang, [])
