@@ -3,13 +3,16 @@
 The closest copies are met by the links of their SimHash fingerprints (Golay-code keys, 3 bits, as in simhash). At a similarity of
 0.8 fingerprints differ by more bits than such keys reach, so minima of the same shingles, in bands, find the rest.
 Two sets of similarity s agree on a band of ROWS minima with probability s^ROWS, so that at 0.8 all BANDS bands differ with a
-probability below 3e-11. Members of a bucket are first held against its smallest; then all pairs of a bucket that these links have
-not connected. Texts with the same set of shingles are one set from the start.
+probability below 3e-11. Members of a bucket are first held against its smallest. Where these links leave a bucket in several
+groups, its members are held against each other by a byte of each of their minima: sets that agree on fewer than AGREE of them are
+not similar, but for a probability below 3e-11 at 0.8 (of a binomial draw). What is left falls into families, connected by such agreement; the whole sets
+of a family meet and decide. Both steps return forests, never pairs, and cut large groups into blocks that meet two by two.
+Texts with the same set of shingles are one set from the start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import simhash
-from ledgerloom.llm.common import SMALL_ROWS, TEXT_ROWS, as_bytes, batches, by_bytes, components, mapped, materialise
+from ledgerloom.llm.common import SMALL_ROWS, TEXT_ROWS, as_bytes, batches, by_bytes, components, discard, mapped, materialise
 
 WIDTH, NUMERATOR, DENOMINATOR, ROWS, BANDS, SEED = 5, 4, 5, 6, 80, 42
+AGREE = 320  # of ROWS * BANDS minima; sets of similarity 0.8 agree on 384 in the mean
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 16 << 20, 4096
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -33,17 +38,59 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, max(1, len(words) - width + 1)))
 
 
+def hashing() -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of the ROWS * BANDS functions whose minima are taken."""
+    rng = np.random.default_rng(SEED)
+    factors, shifts = (rng.integers(0, 1 << 32, ROWS * BANDS, np.uint32) for _ in range(2))
+    return factors | np.uint32(1), shifts
+
+
+def minima(s: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    low = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    s = s.astype(np.uint32)  # its lower half is a hash too
+    for at in range(0, len(s), 128):
+        np.minimum(low, (s[at : at + 128, None] * factors + shifts).min(0), out=low)
+    return low
+
+
 def bands(s: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     """A key for each band: the hash of its minima. No shingles: no keys."""
     import xxhash
 
     if not len(s):
         return np.empty(0, np.int64)
-    low = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
-    s = s.astype(np.uint32)  # its lower half is a hash too
-    for at in range(0, len(s), 128):
-        np.minimum(low, (s[at : at + 128, None] * factors + shifts).min(0), out=low)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+    low = minima(s, factors, shifts).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low)], np.uint64).view(np.int64)
+
+
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a forest that connects what near connects: it says which of some places are linked to one."""
+    left, out, todo = np.arange(n), [], []
+    while len(left):
+        if not todo:
+            todo, left = [int(left[0])], left[1:]
+        at = todo.pop()
+        if (linked := near(at, left)).any():
+            out += [(at, int(x)) for x in left[linked]]
+            todo += left[linked].tolist()
+            left = left[~linked]
+    return out
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets have in common."""
+    out = np.zeros((len(sets), len(sets)))
+    element, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    owner, shared = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), df[element] > 1
+    column, owner = (np.cumsum(df > 1) - 1)[element[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        held = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
+        held[owner[part], column[part] - low] = 1
+        out += held @ held.T
+    return out
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -59,9 +106,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 def signed(docs: DataFrame, text: str, row: list[str]) -> DataFrame:
     """(row columns, sid, n, fp, keys) for each row of docs: sid names the set of shingles, n is its size, fp its SimHash."""
-    rng = np.random.default_rng(SEED)
-    factors, shifts = (rng.integers(0, 1 << 32, ROWS * BANDS, np.uint32) for _ in range(2))
-    factors |= np.uint32(1)
+    factors, shifts = hashing()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -142,6 +187,85 @@ def bodies(docs: DataFrame, text: str, known: DataFrame) -> DataFrame:
     return mapped(one, run, "sid long, body binary")
 
 
+def cut(rows: DataFrame, group: str, size: F.Column) -> DataFrame:
+    """rows with a column sub: a group of over BLOCK rows, or BLOCK_BYTES in size, is cut into blocks by sid, and each two blocks are a sub."""
+    total = rows.groupBy(group).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long")
+    large = total.select(group, blocks.alias("blocks")).filter("blocks > 1")
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != own)
+    subs = F.transform(others, lambda j: F.least(j, own) * F.col("blocks") + F.greatest(j, own))
+    sub = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(subs)).alias("sub")
+    return rows.join(large, group, "left").select(*rows.columns, sub)
+
+
+def dealt(rows: DataFrame, group: str) -> DataFrame:
+    """rows, those of each (group, sub) in one task and side by side."""
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, group, "sub").sortWithinPartitions(group, "sub")
+
+
+def runs(parts: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.Table]:
+    """The rows of each (group, sub) in turn, out of sorted batches."""
+    held, at = [], None
+    for b in parts:
+        if not b.num_rows:
+            continue
+        g = np.column_stack([b.column(c).to_numpy() for c in (group, "sub")])
+        cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]).any(1)) + 1).tolist(), len(g)]
+        for i, j in zip(cuts, cuts[1:]):
+            if held and tuple(g[i]) != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = tuple(g[i])
+            held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def pairs_of(sid: np.ndarray, linked: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if linked:
+        at = np.array(linked)
+        yield pa.record_batch([pa.array(sid[at[:, 0]]), pa.array(sid[at[:, 1]])], ["a", "b"])
+
+
+def agreeing(rooted: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): a forest over the sets of each bucket that agree on AGREE minima or more and have different roots, in rooted (key, sid, n, root)."""
+    factors, shifts = hashing()
+
+    def sketch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        low = [minima(np.frombuffer(x.as_buffer(), np.uint64), factors, shifts).astype(np.uint8).tobytes() for x in batch.column("body")]
+        yield pa.record_batch([batch.column("sid"), pa.array(low, pa.binary())], ["sid", "sketch"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(parts, "key"):
+            sid, n, root = (t.column(c).to_numpy() for c in ("sid", "n", "root"))
+            low = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(sid), -1)
+
+            def near(at: int, left: np.ndarray) -> np.ndarray:
+                ok = (root[left] != root[at]) & (DENOMINATOR * np.minimum(n[left], n[at]) >= NUMERATOR * np.maximum(n[left], n[at]))
+                ok[ok] = (low[left[ok]] == low[at]).sum(1) >= AGREE
+                return ok
+
+            yield from pairs_of(sid, forest(len(sid), near))
+
+    sketches = mapped(sets, sketch, "sid long, sketch binary")
+    rows = cut(rooted, "key", F.lit(ROWS * BANDS)).join(sketches, "sid").select("key", "sub", "sid", "n", "root", "sketch")
+    return dealt(rows, "key").mapInArrow(run, "a long, b long").distinct()
+
+
+def decided(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): a forest of links, by their whole sets, over the members of each family in families (sid, family)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(parts, "family"):
+            bodies = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("body")]
+            n, both = np.array([len(s) for s in bodies]), overlaps(bodies)
+            yield from pairs_of(t.column("sid").to_numpy(), forest(len(n), lambda at, left: DENOMINATOR * both[at, left] >= NUMERATOR * (n[at] + n[left] - both[at, left])))
+
+    return dealt(cut(families.join(sets, "sid"), "family", F.length("body")), "family").mapInArrow(run, "a long, b long").distinct()
+
+
 def firsts(docs: DataFrame, text: str, order: list[str]) -> DataFrame:
     """The smallest `order` (a struct `first`, nulls last in each column) of each group of near copies in docs.
 
@@ -160,15 +284,20 @@ def firsts(docs: DataFrame, text: str, order: list[str]) -> DataFrame:
     named = star.select(F.col("a").alias("sid")).union(star.select("b")).distinct().join(prints.select("sid", "digest"), "sid")
     linked = materialise(verified(star, bodies(docs, text, named)), "links")
     tree = components(linked)
-    # What the smallest of each bucket has not connected: all pairs of a bucket that lie in different groups so far.
+    # What the smallest of each bucket has not connected: buckets whose members lie in different groups so far.
     rooted = buckets.join(tree.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
     rooted = materialise(rooted.join(open_, "key", "left_semi"), "open")
-    other = rooted.select("key", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = rooted.withColumnRenamed("sid", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m")))
-    rest = materialise(rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    if rest.head(1):
-        named = rest.select(F.col("a").alias("sid")).union(rest.select("b")).distinct().join(prints.select("sid", "digest"), "sid")
-        tree = components(linked.union(materialise(verified(rest, bodies(docs, text, named)), "links")))
+    discard(buckets)
+    discard(star)
+    if rooted.head(1):
+        named = rooted.select("sid").distinct().join(prints.select("sid", "digest"), "sid")
+        sets = materialise(bodies(docs, text, named), "bodies")
+        with batches(spark, SMALL_ROWS):
+            family = components(agreeing(rooted, sets)).toDF("sid", "family")
+            family = family.union(family.select("family", "family").distinct())
+            tree = components(linked.union(materialise(decided(family, sets), "links")))
+        discard(sets)
+    discard(rooted)
     rooted = prints.join(tree.withColumnRenamed("node", "sid"), "sid", "left")
     return rooted.groupBy(F.coalesce("root", "sid").alias("group")).agg(F.min("first").alias("first")).select("first")
