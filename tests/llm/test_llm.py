@@ -596,6 +596,43 @@ def test_near_dedup_equals_brute_force(spark):
     assert got == brute_firsts(texts) and len(got) < len(set(texts.values()))
 
 
+def families(rng, count=6, members=25):
+    """Texts in families whose members share 60 to 95 % of their shingles, and some members of two families."""
+    out = []
+    for f in range(count):
+        base = [f"f{f}w{int(x)}" for x in rng.integers(0, 4000, 150)]
+        for k in range(members):
+            words = list(base)
+            for at in rng.choice(150, int(rng.integers(1, 7)), replace=False):
+                words[at] = f"x{f}y{k}"
+            out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("block", [similar.BLOCK, 7])
+def test_near_dedup_of_families_in_blocks_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    texts = dict(enumerate(families(np.random.default_rng(5))))
+    df = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in texts.items()], DOCS)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert got == brute_firsts(texts) and 6 < len(got) < len(texts)
+
+
+def test_sketches_keep_what_is_similar_and_overlaps_are_exact():
+    sets = [similar.shingles(t.encode()) for t in families(np.random.default_rng(6))]
+    sets.append(np.empty(0, np.uint64))
+    both = similar.overlaps(sets)
+    low = [similar.minima(s, *similar.hashing()).astype(np.uint8) for s in sets]
+    near = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            assert both[i, j] == len(np.intersect1d(a, b))
+            if similar.alike(a, b) and len(a):
+                near += 1
+                assert (low[i] == low[j]).sum() >= similar.AGREE
+    assert near > 50
+
+
 def test_near_dedup_keeps_distinct_texts_of_one_id_and_dedups_without_id(spark):
     one, two = "the first text has words of its own here", "quite another text that shares nothing with it"
     data = [(1, one, "en", "a", 1), (1, two, "en", "b", 1), (1, two, "en", "a", 2), (None, one, "en", "a", 1), (None, PASSAGE, "en", "a", 1), (None, PASSAGE, "de", "a", 1), (3, "", "en", "a", 0), (None, " ", "en", "a", 1)]
