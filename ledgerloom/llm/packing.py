@@ -96,7 +96,7 @@ class Words:
         if not len(first):
             return [np.empty(0, np.uint32)] * len(texts)
         if len(raw) > len(_powers[0]):
-            _powers[:] = [powers(BASE, 2 * len(raw)), powers(pow(BASE, -1, 1 << 64), 2 * len(raw))]
+            _powers[:] = [powers(BASE, len(raw) * 5 // 4), powers(pow(BASE, -1, 1 << 64), len(raw) * 5 // 4)]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(low)], dtype=np.uint64)])
         long = stop - first > LONGEST
         name = mix((sums[stop] - sums[first]) * _powers[1][first] ^ (stop - first).astype(np.uint64) << np.uint64(56))
@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, made = None, 0
-        for b in (s for b in parts if b.num_rows for s in by_bytes(b, "text", 2 << 20)):
+        for b in (s for b in parts if b.num_rows for s in by_bytes(b, "text", 1 << 19)):
             words = words or words_of_worker(sent.value)
             rows: list[tuple[int, int, int, int]] = []
             who = []
