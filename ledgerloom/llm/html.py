@@ -1,7 +1,8 @@
 """HTML main text by tree scoring.
 
 A tolerant tokenizer builds a tree of elements. Boilerplate elements go first: by tag (nav, footer, form, script ...) or by a word
-of class, id or role (menu, sidebar, advert, cookie notice, comments ...). Each block of text that is left is a paragraph: it
+of class, id or role (menu, sidebar, advert, cookie notice, comments ...). Inside an article a word that may as well name a section
+of it (discussion, related ...) is not enough: see doubtful. Each block of text that is left is a paragraph: it
 gives a point, one for each comma and up to three for its length to its container, half of that to the next and a third of
 half to those above, up to LEVELS containers. A container's score is discounted by its link density. The best is kept, with siblings whose
 score is near its own or that are plain paragraphs, lists or tables. A container inside an article or main stands for all of it.
@@ -22,6 +23,7 @@ from ledgerloom.llm.common import by_bytes, mapped
 # Element names by their part in the HTML standard, and words that name boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "object", "canvas")
+OPEN = set("noscript template svg math object canvas".split())  # of these RAW ones, without an end tag, the page goes on after the start tag
 GONE = set(RAW) | set("head nav footer aside form button select input label fieldset menu dialog audio video datalist".split())
 BLOCK = set("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside".split())
 CLOSES_P = BLOCK - set("dd dt li tbody td tfoot th thead tr html body".split()) | {"p"}
@@ -35,6 +37,10 @@ BAD_WORDS = set(
 # First words of a class that only tells of a layout, and of one that names an article's own headline.
 LAYOUT_WORDS = set("has no with without is not".split())
 OWN_HEADER = set("article entry post story".split())
+# Of BAD_WORDS those that also name sections of an article, and elements of forms.
+SECTION_WORDS = set("alert notice notices discussion respond reply replies share sharing social related recommended recommendations feedback reactions disclaimer copyright header promotion cookie cookies consent".split())
+CONTROLS = set("form button select input textarea".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 
 LEVELS = 16
@@ -45,16 +51,17 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "score", "text_len", "link_len")
+    __slots__ = ("tag", "attrs", "parent", "kids", "score", "text_len", "link_len", "inside", "holds")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids, self.score, self.text_len, self.link_len = tag, attrs, parent, [], 0.0, 0, 0
+        self.inside, self.holds = tag in ("article", "main") or parent is not None and parent.inside, None
 
 
 def tree(html: str) -> Node:
     """Elements and texts in page order, character references decoded in each text (not in CDATA). Open elements end with the page; an end tag without its start is ignored."""
     root = at = Node("html", "", None)
-    place, n = 0, len(html)
+    place, n, endless = 0, len(html), set()
     while place < n:
         m = TAG.search(html, place)
         if m is None:
@@ -84,8 +91,11 @@ def tree(html: str) -> Node:
         node = Node(name, attrs or "", at)
         at.kids.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, place)
-            place = end.end() if end else n
+            if name in ("svg", "math") and (attrs or "").rstrip().endswith("/"):
+                continue
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, place) if name not in endless else None
+            endless |= {name} if end is None else set()  # no later one has an end either
+            place = end.end() if end else place if name in OPEN else n
         elif name not in VOID and not (attrs or "").rstrip().endswith("/") or name in BLOCK:
             at = node if name != "hr" else at
     return root
@@ -105,33 +115,48 @@ def close(at: Node, name: str) -> Node:
     return out
 
 
-def names_boilerplate(value: str) -> bool:
-    """Whether a class or id names a part that is not the article's: has-sidebar only tells of a layout, entry-header is the article's own."""
+def named_after(value: str) -> Iterator[tuple[set[str], bool]]:
+    """The words of boilerplate in each name of a class or id, and whether the name has no others: has-sidebar only tells of a layout, entry-header is the article's own."""
     for name in value.split():
         words = [w.lower() for w in WORD.findall(name)]
         if not words or len(words) > 1 and words[0] in LAYOUT_WORDS:
             continue
         bad = BAD_WORDS.intersection(words)
         if bad and not (bad == {"header"} and words[0] in OWN_HEADER):
-            return True
-    return False
+            yield bad, bad.issuperset(words)
+
+
+def doubtful(node: Node) -> bool:
+    """Whether what an element holds does not look like boilerplate: mostly text outside links, and no form's elements."""
+    if node.holds is None:  # worked out once for all that it holds
+        for x in in_order(node)[::-1]:
+            size = linked = 0
+            control = x.tag in CONTROLS
+            for k in x.kids:
+                n, m, c = k.holds if isinstance(k, Node) else (len(k.strip()), 0, False)
+                size, linked, control = size + n, linked + m, control or c
+            x.holds = size, size if x.tag == "a" else linked, control
+    size, linked, control = node.holds
+    return not control and 2 * linked < size
 
 
 def boilerplate(node: Node) -> bool:
     if node.tag in GONE:
         return True
     if node.tag == "header":  # a page's header goes; an article's own holds its headline
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None
+        return not node.inside
     if not node.attrs or node.tag in ("html", "body", "article", "main"):
         return False
     for key, a, b, c in ATTR.findall(node.attrs):
         key, named = key.lower(), a or b or c
         value = named.lower()
-        if key in ("class", "id") and names_boilerplate(named):
-            return node.tag not in ("h1", "h2", "h3") or "title" not in value
+        if key == "class" or key == "id" and node.tag not in HEADINGS:
+            for bad, whole in named_after(named):
+                # Inside an article, words that sections have too count as a class of their own, by twos or by what the element holds.
+                if node.inside and bad <= SECTION_WORDS and not (whole and (key == "class" or len(bad) > 1)) and doubtful(node):
+                    continue
+                if node.tag not in ("h1", "h2", "h3") or "title" not in value:
+                    return True
         if key == "role" and value in BAD_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
     return False
@@ -196,7 +221,7 @@ def main_text(html: str) -> str:
         owner.link_len += linked
         up = owner
         share, level, p = 1.0, 0, points(text)
-        heading = owner.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        heading = owner.tag in HEADINGS
         while up is not None and level < LEVELS:
             if up.tag in CONTAINER:
                 scored[id(up)] = up

@@ -203,7 +203,36 @@ def test_html_names_of_parts(body, want):
     assert html.main_text(f"<html><body>{body}</body></html>") == want
 
 
+@pytest.mark.parametrize(
+    "part,stays",
+    [
+        ("<section id=discussion><p>What it means.</p></section>", True),
+        ("<div class=related-work><p>What others found.</p></div>", True),
+        ("<h2 id=related-work>Related work</h2>", True),
+        ("<h5 id=cookies>Cookies</h5>", True),
+        ("<div class=alert>Mind the gap</div>", False),
+        ("<div id=cookie-notice>We use cookies</div>", False),
+        ("<div id=related-posts><a href=x>One more story</a> <a>Another</a></div>", False),
+        ("<div id=feedback>Was it of use? <button>Yes</button></div>", False),
+        ("<div class=comments><p>Reader says hello.</p></div>", False),
+        ("<div class='share-this'><a href=x>Send</a></div>", False),
+        ("<svg width=1 />A mark<math/>", True),
+        ("<object data=x>A mark", True),
+        ("<noscript>A mark", True),
+        ("<script>a mark", None),
+    ],
+)
+def test_html_parts_of_an_article(part, stays):
+    import re
+
+    said = " ".join(re.sub("<[^>]*>", "", part).split())
+    want = [LONG.strip(), *([said] if stays else []), *([LONG.strip()] if stays is not None else [])]
+    assert html.main_text(f"<body><article><p>{LONG}</p>{part}<p>{LONG}</p></article></body>") == " ".join(want)
+
+
 def test_html_deep_and_broken_pages():
+    assert html.main_text("<article>" + "<div id=discussion>" * 3000 + "x" + "</div>" * 3000) == "x"
+    assert html.main_text("<object><svg>" * 20_000 + "x") == "x"
     assert html.main_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert html.main_text("<a href='" * 3000 + "<p>x") is not None
     assert len(html.main_text("<p>" + "w, " * 200_000 + "</p>")) > 500_000
