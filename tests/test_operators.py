@@ -100,6 +100,14 @@ def test_files_are_classed_and_numbered(spark):
     assert {(r.name, r.document_id, r.file_format) for r in got} == {("a.txt", "DOC_001", "text"), ("b.PDF", "DOC_002", "pdf"), ("z", "DOC_003", "other"), ("x 지급내역 1.xlsx", "GT_001", "spreadsheet")}
 
 
+def test_ids_past_999_are_not_cut(spark):
+    df = spark.range(1012).select(F.lit("c").alias("case"), F.format_string("f%05d", "id").alias("name"), F.lit("raw").alias("classification"), (F.col("id") < 2).alias("is_split"))
+    whole = {r.name: r.document_id for r in cases.assign_ids(df.drop("is_split"), "case", "name").collect()}
+    parts = {r.name: r.document_id for r in cases.assign_ids(df, "case", "name").collect()}
+    assert len(set(whole.values())) == len(set(parts.values())) == 1012
+    assert (whole["f00000"], whole["f00998"], whole["f00999"], parts["f00002"], parts["f00001"]) == ("DOC_001", "DOC_999", "DOC_1000", "DOC_001", "DOC_1012")
+
+
 def test_citations(spark):
     assert one(spark, reports.fill_citations(F.lit("a {{E}} b {{E}}"), F.lit(3))) == "a [E3] b [E4]"
     got = one(spark, reports.tag_check(F.lit("[E1] [E2] [E2]"), F.array(F.lit(2), F.lit(5)).cast("array<bigint>")))
