@@ -27,8 +27,8 @@ def pages_in_order(pages: DataFrame, doc: str, pos: str, page: str) -> DataFrame
 
 
 def number_chunks(pages: DataFrame, case: str, doc_pos: str, doc: str, page: str, text: str) -> DataFrame:
-    """A chunk for each page, numbered within its case by document order and page."""
-    n = F.row_number().over(Window.partitionBy(case).orderBy(doc_pos, page))
+    """A chunk for each page, numbered within its case by document order and page, those without one last."""
+    n = F.row_number().over(Window.partitionBy(case).orderBy(F.col(doc_pos).asc_nulls_last(), F.col(page).asc_nulls_last()))
     return pages.select(case, F.concat(F.lit("CHUNK_"), n.cast("string")).alias("chunk_id"), F.col(doc).alias("document_id"), F.col(page).alias("page_start"), F.col(page).alias("page_end"), F.col(text).alias("text"))
 
 

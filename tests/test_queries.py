@@ -41,3 +41,13 @@ def test_every_kind_of_personal_data_is_redacted_before_the_gate(spark, tmp_path
     assert catalogue.QUERIES["flagship_redact_gate_chunk"](spark, str(tmp_path)).count() == len(values)
     got = {r.doc_id: r.categories for r in catalogue.QUERIES["redact_spans_full"](spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(7)] == ["resident_registration_number", "phone_number", "phone_number", "account_number", "email", "vehicle_number", "account_number"]
+
+
+def test_flagship_numbers_documents_without_id_last_as_its_sql_does(spark, tmp_path):
+    rows = [(None, "no id", "en"), (2, "two words", "en"), (1, "mail a@b.co", "en"), (None, None, None), (3, "drei", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    name = "flagship_redact_gate_chunk"
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).select("lang", "chunk_id", "document_id", "n_chars").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(c.execute(catalogue.ORACLES[name]).fetchall(), key=str)
