@@ -33,9 +33,10 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.withColumns({name: F.col("doc_id").isNull(), digest: F.xxhash64(text), whole: F.xxhash64(*docs.columns)})
     bare = F.col(name) & ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
     order = ["doc_id", digest, whole]
-    first = similar.firsts(rows.filter(~bare).select(*order, "text"), "text", order)
-    first = materialise(first.select(*(F.col(f"first.{c}").alias(c) for c in order)), "firsts")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in order]
+    first = similar.firsts(rows.filter(~bare).select(*order, "text"), "text", order).select(*(F.col(f"first.{c}").alias(c) for c in order))
+    # Joined by the hashes alone, which are never null: rows so dealt are deduplicated where they are, and texts are shuffled once.
+    same = [F.col(f"r.{c}") == F.col(f"f.{c}") for c in (digest, whole)]
+    same.append(F.coalesce(F.col("r.doc_id") == F.col("f.doc_id"), F.col("r.doc_id").isNull() & F.col("f.doc_id").isNull()))
     kept = rows.filter(~bare).alias("r").join(first.alias("f"), same, "left_semi").dropDuplicates([name, *order])
     return kept.select(docs.columns).union(docs.filter(F.col("doc_id").isNull() & ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))))
 

@@ -183,8 +183,9 @@ def bodies(docs: DataFrame, text: str, known: DataFrame) -> DataFrame:
         for b in by_bytes(batch, "body"):
             yield pa.record_batch([b.column("sid"), pa.array([shingles(x).tobytes() for x in as_bytes(b.column("body"))], pa.binary())], ["sid", "body"])
 
-    one = docs.select(F.xxhash64(text).alias("digest"), F.col(text).alias("body")).join(known, "digest").groupBy("sid").agg(F.min("body").alias("body"))
-    return mapped(one, run, "sid long, body binary")
+    one = docs.select(F.xxhash64(text).alias("digest"), F.col(text).alias("body")).join(known, "digest")
+    # A set has one digest here; grouped by both, the texts are not shuffled once more.
+    return mapped(one.groupBy("digest", "sid").agg(F.min("body").alias("body")).select("sid", "body"), run, "sid long, body binary")
 
 
 def cut(rows: DataFrame, group: str, size: F.Column) -> DataFrame:
@@ -300,4 +301,6 @@ def firsts(docs: DataFrame, text: str, order: list[str]) -> DataFrame:
         discard(sets)
     discard(rooted)
     rooted = prints.join(tree.withColumnRenamed("node", "sid"), "sid", "left")
-    return rooted.groupBy(F.coalesce("root", "sid").alias("group")).agg(F.min("first").alias("first")).select("first")
+    out = materialise(rooted.groupBy(F.coalesce("root", "sid").alias("group")).agg(F.min("first").alias("first")).select("first"), "firsts")
+    discard(prints)
+    return out
